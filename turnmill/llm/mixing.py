@@ -31,7 +31,7 @@ table or one without words gives targets and takings of 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, read_table, words_of
@@ -47,15 +47,19 @@ SHARD_WORDS = 4_000_000
 SEED = "mix-1"
 
 
-def slim_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source, h): h tells rows apart by contents."""
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows apart by contents; rows alike in all share it."""
     text, source = docs["text"].cast("string"), docs["source"].cast("string")
-    doc_id = docs["doc_id"].cast("long")
+    return F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(text), source, F.lit(SEED))
+
+
+def slim_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source, h) of each row."""
     return docs.select(
-        doc_id.alias("doc_id"),
-        F.size(words_of(text)).cast("long").alias("size"),
-        source.alias("source"),
-        F.xxhash64(doc_id, F.xxhash64(text), source, F.lit(SEED)).alias("h"),
+        docs["doc_id"].cast("long").alias("doc_id"),
+        F.size(words_of(docs["text"].cast("string"))).cast("long").alias("size"),
+        docs["source"].cast("string").alias("source"),
+        row_hash(docs).alias("h"),
     )
 
 
@@ -88,20 +92,29 @@ def _hash(*parts):
     return F.xxhash64(*(F.lit(p) if isinstance(p, (str, int)) else p for p in parts))
 
 
+def with_block(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rows`` (source, h) with their source's figures and their block."""
+    goal = goal.select(F.col("source").alias("s"), "source_size", "target", "n_blocks")
+    met = rows.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return met.withColumn("block", F.pmod("h", F.col("n_blocks"))).drop("n_blocks")
+
+
+def row_key(h: Column) -> Column:
+    """Order of rows within a block that is taken in part."""
+    return _hash(h, SEED, "row")
+
+
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, units, edge): what the mix takes, before rows meet their units.
+    """(rows, goal, takings).
 
-    rows: slim rows with their source's figures and block. units: one row per
-    (source, block, pass) taken whole or in part, with its shard. edge: rows of
-    partly taken blocks that are in.
+    rows: slim rows with their source's figures and block. goal: one row per
+    source. takings: per (source, block) the shards that take all its rows, and
+    the shard that takes those whose row_key is at most ``cutoff``.
     """
     base = materialise(slim_rows(docs), "mix-rows")
-    goal = materialise(targets(base), "mix-targets")
     blocks_of = F.least(F.ceil(F.col("n_rows") / BLOCK_ROWS), F.lit(MAX_BLOCKS))
-    goal = goal.withColumn("n_blocks", F.greatest(blocks_of, F.lit(1)).cast("long"))
-    goal_as = goal.select(F.col("source").alias("s"), "source_size", "target", "n_blocks")
-    rows = base.join(goal_as, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("block", F.pmod("h", F.col("n_blocks"))).drop("n_blocks")
+    goal = materialise(targets(base).withColumn("n_blocks", F.greatest(blocks_of, F.lit(1)).cast("long")), "mix-targets")
+    rows = with_block(base, goal)
 
     blocks = rows.groupBy("source", "block").agg(
         F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
@@ -114,21 +127,24 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .withColumn("upto", F.sum("words").over(permuted))
         .withColumn("left", F.col("quota") - (F.col("upto") - F.col("words")))
     )
-    # The last pass takes a block whole where it fits the quota, in part where it does not.
-    part = (F.col("left") > 0) & (F.col("words") > F.col("left"))
-    blocks = materialise(
-        blocks.withColumn("last", F.when(F.col("left") <= 0, 0).when(part, 1).otherwise(2)).where("words > 0"), "mix-blocks"
-    )
+    # The last pass takes a block whole (2) where it fits the quota, in part (1) where it does not.
+    part = F.col("words") > F.col("left")
+    last = F.when(F.col("left") <= 0, 0).when(part, 1).otherwise(2)
+    blocks = materialise(blocks.withColumn("last", last).where("words > 0"), "mix-blocks")
 
     cut = blocks.where("last = 1").select(F.col("source").alias("s"), F.col("block").alias("b"), "left")
-    within = Window.partitionBy("source", "block").orderBy(_hash(F.col("h"), SEED, "row"), "h", "doc_id")
-    edge = (
+    upto = F.sum("size").over(
+        Window.partitionBy("source", "block").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
+    )
+    cutoff = (
         rows.where("size > 0")
         .join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-        .withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("key", row_key(F.col("h")))
+        .withColumn("upto", upto)
         # Nearest: a row is in if at least half of it is below the quota.
         .where(F.col("upto") - F.col("size") / 2 <= F.col("left"))
-        .select("source", "block", "doc_id", "h", "size", F.col("upto"))
+        .groupBy(F.col("source").alias("cs"), F.col("block").alias("cb"))
+        .agg(F.max("key").alias("cutoff"))
     )
 
     whole = blocks.withColumn("n", F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0)).where("n > 0")
@@ -137,7 +153,14 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pass"),
     )
     units = units.withColumn("partial", (F.col("pass") == F.col("passes")) & (F.col("last") == 1))
-    return rows, split(units), edge
+    takings = split(units).groupBy("source", "block").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("partial"), F.col("shard")))).alias("whole"),
+        F.max(F.when(F.col("partial"), F.col("shard"))).alias("part"),
+    )
+    takings = takings.join(
+        cutoff, F.col("source").eqNullSafe(F.col("cs")) & (F.col("block") == F.col("cb")), "left"
+    ).select(F.col("source").alias("s"), F.col("block").alias("b"), "whole", "part", "cutoff")
+    return rows, goal, materialise(takings, "mix-takings")
 
 
 def split(units: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -159,30 +182,32 @@ def split(units: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     return tree.select("source", "block", "pass", "partial", F.col("lo").alias("shard"))
 
 
+def with_shards(rows: DataFrame, takings: DataFrame) -> DataFrame:
+    """``rows`` (source, block, h) with the ``shards`` that hold their copies."""
+    met = rows.join(takings, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    none = F.array().cast("array<int>")
+    in_part = F.coalesce(row_key(F.col("h")) <= F.col("cutoff"), F.lit(False)) & F.col("part").isNotNull()
+    shards = F.concat(F.coalesce("whole", none), F.when(in_part, F.array("part")).otherwise(none))
+    return met.withColumn("shards", shards).drop("s", "b", "whole", "part", "cutoff")
+
+
 def mix_counts(docs: DataFrame) -> DataFrame:
-    """Each row's copies in the mix, with the shards that hold them."""
-    rows, units, edge = plan(docs)
-    per_block = units.groupBy("source", "block").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("partial"), F.col("shard")))).alias("whole"),
-        F.max(F.when(F.col("partial"), F.col("shard"))).alias("part"),
-    )
-    per_block = per_block.select(F.col("source").alias("s"), F.col("block").alias("b"), "whole", "part")
-    got = rows.join(per_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    # Rows of a cut block repeat the window of ``edge``: rows alike in all are interchangeable.
-    edge_h = edge.groupBy("source", "h").agg(F.count("*").alias("n_in"))
-    edge_h = edge_h.select(F.col("source").alias("es"), F.col("h").alias("eh"), "n_in")
-    got = got.join(edge_h, F.col("source").eqNullSafe(F.col("es")) & (F.col("h") == F.col("eh")), "left")
-    same = Window.partitionBy("source", "h").orderBy("doc_id")
-    got = got.withColumn("nth", F.when(F.col("n_in").isNotNull(), F.row_number().over(same)))
-    taken_shards = F.when(F.col("size") == 0, F.array().cast("array<int>")).otherwise(
-        F.concat(
-            F.coalesce("whole", F.array().cast("array<int>")),
-            F.when((F.col("nth") <= F.col("n_in")) & F.col("part").isNotNull(), F.array("part")).otherwise(
-                F.array().cast("array<int>")
-            ),
-        )
-    )
-    return got.select("doc_id", "size", "source", "source_size", "target", "h", taken_shards.alias("shards"))
+    """Each row's copies in the mix, as the list of the shards that hold them."""
+    rows, _, takings = plan(docs)
+    got = with_shards(rows, takings)
+    shards = F.when(F.col("size") > 0, F.col("shards")).otherwise(F.array().cast("array<int>"))
+    return got.select("doc_id", "size", "source", "source_size", "target", "h", shards.alias("shards"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, in its own columns."""
+    _, goal, takings = plan(docs)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    packed = docs.select(row, docs["source"].cast("string").alias("source"), row_hash(docs).alias("h"))
+    # Rows without a word are in no quota.
+    packed = packed.where(F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    met = with_shards(with_block(packed, goal), takings)
+    return met.select("row", F.explode("shards")).select("row.*")
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
