@@ -46,8 +46,8 @@ ORACLES = {
     "op5_quality_rules": rf"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 win AS (
   SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g
@@ -63,9 +63,9 @@ m AS (
          CAST(len(ls) AS BIGINT) AS n_lines,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-         len(list_filter(ws, w -> lower(w) IN ({_STOPS}))) AS stops,
-         len(list_filter(ws, w -> regexp_matches(w, '[#*$%&|<>]'))) AS symbol_words,
-         len(list_filter(ws, w -> ends_with(w, '!!'))) AS bang_words
+         len(list_filter(ws, lambda w: lower(w) IN ({_STOPS}))) AS stops,
+         len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&|<>]'))) AS symbol_words,
+         len(list_filter(ws, lambda w: ends_with(w, '!!'))) AS bang_words
   FROM t LEFT JOIN rep USING (r)),
 q AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -83,11 +83,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q""",
     "op9_topk_search": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
