@@ -9,16 +9,17 @@
 2. Each page votes for its best container's generalised path (tags with classes,
    digits as #). Votes are summed per host and path in Spark, with map-side
    combining, and the path with most votes wins its host.
-3. Pages meet their host's path in a join that adaptive execution may broadcast
-   or split, and are read again with it: text comes from all outermost containers
+3. Pages meet their host's path, those of hot hosts (at most HOT_HOSTS) by a
+   broadcast, the others by a shuffle in which the hot ones are dealt evenly, so
+   no host gathers in one task. They are read again with the path: text comes from all outermost containers
    on the winning path. A page without one, or with no text there, falls back to
    its own best container.
 
 Block elements end a block, white space within a block becomes one space, and
 blocks are joined by one space in page order; <br> counts as white space.
 
-Defined cases: null and empty html give an empty text; a null url is a host of
-its own (null); null ids stay null; rows that repeat do so in the result; an
+Defined cases: null and empty html give an empty text; pages without a
+host in their url use their own best container; null ids stay null; rows that repeat do so in the result; an
 empty table gives an empty result. Work is linear in a page's length.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import materialise, read_table
 
 # Fixed values of HTML: elements without an end tag, and elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +59,8 @@ ROOT_SKIP = {
     "article": frozenset("ad ads advert comment comments promo related reply sponsored".split()),
 }
 GOOD_TOKENS = frozenset("article content post entry main body story text page".split())
+#: A host with a page in so many or more is hot; there are no more such hosts than this.
+HOT_HOSTS = 1000
 CONTAINERS = frozenset("article main section div td body".split())
 #: An end tag, a start tag, a comment, a declaration; an open bracket of none is text.
 _TAG = re.compile(
@@ -287,12 +290,14 @@ def _vote(batches):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the winning generalised path of each host; ties to the smaller path."""
+    """(host, path, pages): each host's winning generalised path; ties to the smaller path."""
     slim = pages.select(host_of(pages["url"]).alias("host"), pages["html"].cast("string").alias("html"))
-    votes = slim.mapInArrow(_vote, "host string, path string").where("path is not null")
+    votes = slim.mapInArrow(_vote, "host string, path string").where("path is not null and host is not null")
     counts = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
-    best = counts.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("b"))
-    return best.select("host", F.col("b.path").alias("path"))
+    best = counts.groupBy("host").agg(
+        F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("b"), F.sum("votes").alias("pages")
+    )
+    return best.select("host", F.col("b.path").alias("path"), "pages")
 
 
 def _extract(batches):
@@ -310,12 +315,23 @@ def _extract(batches):
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, by_consensus) of every page."""
-    winners = host_paths(pages).select(F.col("host").alias("h"), "path")
+    winners = materialise(host_paths(pages), "host-paths")
+    total = winners.agg(F.sum("pages")).first()[0] or 0
+    # At most HOT_HOSTS hosts hold that share of all pages each: a proven bound for the broadcast.
+    is_hot = F.col("pages") * HOT_HOSTS >= total
+    hot = winners.where(is_hot).select(F.col("host").alias("hot_host"), F.col("path").alias("hot_path"))
+    cold = winners.where(~is_hot).select(F.col("host").alias("cold_host"), F.col("path").alias("cold_path"))
     slim = pages.select(
         pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"),
-        pages["html"].cast("string").alias("html"),
+        pages["html"].cast("string").alias("html"), host_of(pages["url"]).alias("host"),
     )
-    joined = slim.join(winners, host_of(F.col("url")) == F.col("h"), "left").select("page_id", "url", "html", "path")
+    met = slim.join(F.broadcast(hot), F.col("host") == F.col("hot_host"), "left")
+    # Pages with their path and pages without a host match nothing more: dealt evenly by contents.
+    done = F.col("hot_path").isNotNull() | F.col("host").isNull()
+    spread = F.concat(F.lit("/"), F.xxhash64("page_id", "url", "html").cast("string"))
+    met = met.withColumn("key", F.when(done, spread).otherwise(F.col("host")))
+    joined = met.join(cold, F.col("key") == F.col("cold_host"), "left")
+    joined = joined.select("page_id", "url", "html", F.coalesce("hot_path", "cold_path").alias("path"))
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, by_consensus boolean")
 
 
