@@ -166,7 +166,7 @@ def test_shard_store(spark, tmp_path, odd, none):
     after = store.compact(odd.schema)
     assert after > before and len(store.shards()) < len(store.shards(before))
     assert store.read(odd.schema, before).count() == 3 * len(ODD)
-    rows = store.read(odd.schema).drop("shard_id").collect()
+    rows = store.read(odd.schema).drop("shard_id", "tier", "shard_bytes").collect()
     assert collections.Counter(map(tuple, rows)) == collections.Counter(3 * [tuple(r) for r in ODD])
     with pytest.raises(shard_store.Conflict):
         store.commit([], before)
@@ -174,6 +174,14 @@ def test_shard_store(spark, tmp_path, odd, none):
     assert store.read(odd.schema).count() == 3 * len(ODD)
 
 
+def test_long_shard_list_is_salted(spark, tmp_path, odd, monkeypatch):
+    store = shard_store.ShardStore(spark, f"file://{tmp_path}/store")
+    store.append(odd.repartition(3))
+    want = sorted(map(str, store.read(odd.schema).collect()))
+    monkeypatch.setattr(shard_store, "BROADCAST_SHARDS", 1)
+    assert sorted(map(str, store.read(odd.schema).collect())) == want and "shard_id=None" not in str(want)
+
+
 def test_shard_query_round_trip(spark, sf, docs):
     got = shard_store.op4_sharding(spark, sf).collect()
     assert {(r.doc_id, r.text_crc32) for r in got} == {(r.doc_id, zlib.crc32(r.text.encode())) for r in docs.collect()}
@@ -256,6 +264,25 @@ def test_tournament_is_first_fit():
         assert tree.place(n) == want
 
 
+def test_pack_lengths_loses_nothing():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        lengths = rng.integers(1, rng.integers(2, 101), rng.integers(1, 120)).tolist()
+        bins = packing.pack_lengths(lengths, 100, int(rng.integers(1, 20)))
+        pieces = collections.defaultdict(list)
+        for b in bins:
+            assert 0 < sum(n for _, _, n in b) <= 100
+            for i, start, n in b:
+                pieces[i].append((start, n))
+        assert sorted(pieces) == list(range(len(lengths)))
+        for i, parts in pieces.items():
+            at = 0
+            for start, n in sorted(parts):
+                assert start == at and n > 0
+                at += n
+            assert at == lengths[i]
+
+
 # -- op7
 def slow_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
