@@ -136,7 +136,8 @@ def pack_lengths(lengths: list[int], capacity: int = LENGTH, min_gap: int = MIN_
     full = [bins[b] for b in sorted(bins)]
     fill = [sum(p[2] for p in b) for b in full]
     donors = sorted(range(len(full)), key=lambda b: (fill[b], -b))
-    gaps = {b: capacity - fill[b] for b in donors if capacity - fill[b] >= min_gap}
+    # The fullest bins take first, so that a bin is rarely filled and then dissolved.
+    gaps = {b: capacity - fill[b] for b in reversed(donors) if capacity - fill[b] >= min_gap}
     room = sum(gaps.values())
     for d in donors:
         room -= gaps.pop(d, 0)
@@ -145,9 +146,10 @@ def pack_lengths(lengths: list[int], capacity: int = LENGTH, min_gap: int = MIN_
         pieces, full[d] = full[d], []
         for item, start, length in pieces:
             while length:
-                b = max(gaps, key=lambda k: (gaps[k], -k)) if len(gaps) < 64 else next(iter(gaps))
+                b = next(iter(gaps))
                 part = min(length, gaps[b])
                 full[b].append((item, start, part))
+                fill[b] += part
                 start, length, room = start + part, length - part, room - part
                 gaps[b] -= part
                 if not gaps[b]:
