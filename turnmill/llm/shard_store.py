@@ -40,6 +40,9 @@ FANOUT = 4
 #: Size of tier 0.
 BASE_BYTES = 1 << 20
 ARRIVALS = 8
+#: Shards whose list (about 100 bytes each) is broadcast, and salts of a longer list's join.
+BROADCAST_SHARDS = 20_000
+SALTS = 64
 _ARRIVAL = "_turnmill_arrival"
 
 
@@ -171,22 +174,32 @@ class ShardStore:
         return len(old)
 
     # -- reading -----------------------------------------------------------
-    def read(self, schema: StructType, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the id of their shard as ``shard_id``."""
-        shards = self.shards(version)
-        if not shards:
-            return self.spark.createDataFrame([], schema).withColumn("shard_id", F.lit(None).cast("long"))
-        rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in shards))
-        names = [(s["id"], s["path"]) for s in shards]
-        ids = self.spark.createDataFrame(names, "shard_id long, _turnmill_path string")
-        tail = F.substring_index(F.col("_metadata.file_path"), "/", -1)
-        rows = rows.withColumn("_turnmill_file", tail)
-        ids = ids.withColumn("_turnmill_name", F.substring_index("_turnmill_path", "/", -1)).drop("_turnmill_path")
-        # Part files carry their job's UUID, so a file's name is unique; Spark escapes nothing in it.
-        clash = rows.drop("shard_id") if "shard_id" in rows.columns else rows
-        return clash.join(ids, F.col("_turnmill_file") == F.col("_turnmill_name"), "left").drop(
-            "_turnmill_file", "_turnmill_name"
-        )
+    def read(self, schema: StructType, version: int | None = None, columns: list | None = None) -> DataFrame:
+        """The rows of a version, or ``columns`` of them, with shard_id, tier and shard_bytes.
+
+        Columns are computed before rows meet the list of shards. The driver has
+        that list anyhow: up to ``BROADCAST_SHARDS`` shards it is broadcast, beyond
+        that rows are salted, so that no shard gathers in one task.
+        """
+        facts = [(s["path"].rpartition("/")[2], s["id"], s["tier"], s["bytes"]) for s in self.shards(version)]
+        kinds = "_turnmill_name string, shard_id long, tier int, shard_bytes long"
+        known = self.spark.createDataFrame(facts, kinds)
+        if facts:
+            rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in self.shards(version)))
+            # Part files carry their job's UUID, so a file's name is unique.
+            file = F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("_turnmill_file")
+        else:
+            rows, file = self.spark.createDataFrame([], schema), F.lit(None).cast("string").alias("_turnmill_file")
+        own = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard_id", "tier", "shard_bytes")]
+        rows = rows.select(*(columns if columns is not None else own), file)
+        if len(facts) <= BROADCAST_SHARDS:
+            met = rows.join(F.broadcast(known), F.col("_turnmill_file") == F.col("_turnmill_name"), "left")
+        else:
+            salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_turnmill_salt")
+            dealt = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_turnmill_n"))
+            same = (F.col("_turnmill_file") == F.col("_turnmill_name")) & (F.col("_turnmill_salt") == F.col("_turnmill_n"))
+            met = rows.select("*", salt).join(dealt, same, "left").drop("_turnmill_n", "_turnmill_salt")
+        return met.drop("_turnmill_file", "_turnmill_name")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,8 +213,5 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append_split(docs, ARRIVALS)
     version = store.compact(docs.schema)
     store.vacuum()
-    rows = store.read(docs.schema).select("doc_id", "shard_id", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
-    facts = [(s["id"], s["tier"], s["bytes"]) for s in store.shards(version)] or [(-1, 0, 0)]
-    shards = spark.createDataFrame(facts, "id long, tier int, shard_bytes long")
-    got = rows.join(shards, rows["shard_id"] == shards["id"], "left")
-    return got.select("doc_id", "shard_id", "tier", "shard_bytes", F.lit(version).alias("version"), "text_crc32")
+    columns = [F.col("doc_id"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32")]
+    return store.read(docs.schema, version, columns).withColumn("version", F.lit(version))
