@@ -96,10 +96,9 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.
 
 def train_texts(texts: list[str | None], toxic: np.ndarray) -> dict:
     """The model from labelled texts: vocabulary, weights and thresholds."""
-    sets = [set(tokens(t)) for t in texts]
     df = [Counter(), Counter()]
-    for s, y in zip(sets, toxic):
-        df[int(y)].update(s)
+    for t, y in zip(texts, toxic):
+        df[int(y)].update(set(tokens(t)))
     n1 = int(np.sum(toxic))
     n0 = len(texts) - n1
     if not n1 or not n0:
