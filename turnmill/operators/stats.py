@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import average_rank
+
 
 def fraction_above(value: Column, threshold: float) -> Column:
     """Share of values >= threshold; 0 for none."""
@@ -18,12 +20,6 @@ def pearson(x: str, y: str) -> Column:
     return F.when(flat, float("nan")).otherwise(F.covar_pop(x, y) / F.when(~flat, sx * sy))
 
 
-def average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks from 1; ties share their mean rank."""
-    rank = F.rank().over(Window.orderBy(column)) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2
-    return rows.withColumn(name, rank)
-
-
 def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(n_pairs, spearman, pearson)."""
     ranked = average_rank(average_rank(rows, x, "_rx"), y, "_ry")
