@@ -6,11 +6,11 @@ queries scale the thresholds of the operators' defaults.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import costs, text
-from ..operators import chat, neighbours, stats, textvec
+from ..operators import chat, density, neighbours, sampling, stats, textvec
+from ..operators.ordering import numbered
 from ..sources.tables import table
 
 KS, TS = (1, 5, 10, 50), (0.2, 0.3, 0.4)
@@ -428,8 +428,7 @@ def agreement_rate(spark, sf_dir):
 # -- text vectors, study B ---------------------------------------------------------------
 def _numbered(spark, sf_dir):
     pairs = chat.turn_pairs(table(spark, sf_dir, "conversations"))
-    ord_ = F.row_number().over(Window.orderBy("conv_id", "turn_idx")) - 1
-    ids = pairs.select("conv_id", "turn_idx", ord_.cast("long").alias("ord"))
+    ids = numbered(pairs.select("conv_id", "turn_idx"), "conv_id", "turn_idx")
     return pairs.join(ids, ["conv_id", "turn_idx"])
 
 
@@ -465,3 +464,55 @@ def study_b_hit_tables(spark, sf_dir):
         hits = neighbours.hit_table(edge, pairs, KS, (0.7, 0.8, 0.9)).select(F.lit(name).alias("retriever"), "k", "t", "rate")
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+# -- pair and item samples, density clusters ---------------------------------------------
+_DRAW = "CAST(CAST('0x' || substr(md5('42:' || d || ':{0}'), 1, 12) AS BIGINT) % (SELECT count(*) FROM embeddings) AS BIGINT)"
+
+
+@query(f"""WITH {_EDGES}, near AS (SELECT 'near:' || i || ':' || j AS key, i, j, cos FROM
+  (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cos DESC, j) AS rank FROM e) WHERE rank <= 14),
+draws AS (SELECT 'draw:' || d AS key, {_DRAW.format('i')} AS i, {_DRAW.format('j')} AS j FROM range(1200) t(d)),
+pool AS (SELECT * FROM near UNION ALL SELECT key, draws.i, draws.j, cos FROM draws JOIN e ON e.i = draws.i AND e.j = draws.j),
+b AS (SELECT least(9, greatest(0, CAST(trunc(cos * 10) AS INTEGER))) AS bin, * FROM pool)
+SELECT bin, i, j, round(cos, 6) AS cos FROM
+(SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('42:' || key), key) AS n FROM b) WHERE n <= 20""")
+def stratified_pair_bins(spark, sf_dir):
+    return sampling.stratified_pairs(_vectors(spark, sf_dir), 200).withColumn("cos", F.round("cos", 6))
+
+
+_BAND = f"CASE {' '.join(f"WHEN cos >= {lo} AND cos < {hi} THEN '{lo:.2f}-{hi:.2f}'" for lo, hi in BANDS)} END"
+
+
+@query(f"""WITH {_EDGES}, near AS (SELECT *, {_BAND} AS band FROM
+  (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cos DESC, j) AS rank FROM e) WHERE rank <= 19),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY i, rank) AS n FROM near WHERE band IS NOT NULL) WHERE n <= 30),
+cut AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('42:' || i || ':' || j), i, j) AS m FROM pool)
+SELECT band, i, j, 'prompt ' || j AS prompt_b, 'reply ' || i AS response_a FROM cut WHERE m <= 10""")
+def banded_items(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    records = v.select("ord", F.concat(F.lit("prompt "), "ord").alias("prompt"), F.concat(F.lit("reply "), "ord").alias("response"))
+    return sampling.banded_items(v, records, BANDS, 10)
+
+
+@query(f"""WITH {_PRIOR}, calls AS (SELECT i, {_BAND} AS band FROM pm WHERE j <> -1 AND i % 5 <> 0),
+b AS (SELECT *, coalesce(band, 'unknown') AS g FROM calls), p AS (SELECT greatest(1, 40 // count(DISTINCT g)) AS per FROM b),
+s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5('42:' || i), i) AS n FROM b)
+SELECT i, band FROM s, p WHERE n <= per ORDER BY md5('42:cut:' || i), i LIMIT 40""")
+def audit_sample(spark, sf_dir):
+    m = neighbours.prior_matches(_vectors(spark, sf_dir)).where("j <> -1")
+    calls = m.select("i", stats.banded(F.col("cos"), BANDS).alias("band"), F.when(F.col("i") % 5 == 0, "control").alias("arm"))
+    return sampling.audit_sample(calls, "i", 40).select("i", "band")
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    """Clusters of the first ten principal components; tests plant groups and find them again."""
+    return density.density_clusters(density.reduce(_vectors(spark, sf_dir), 10), ((20, 5),))
+
+
+@query()
+def cluster_sweep(spark, sf_dir):
+    """Coverage and noise of twelve cells; a query over all 36 would repeat this for two more reductions."""
+    cells = [(m, s) for m in (15, 20, 30, 50) for s in (3, 5, 10)]
+    return density.sweep_cells(_vectors(spark, sf_dir), (10,), cells)
