@@ -55,14 +55,14 @@ def turn_pairs(turns: DataFrame, with_reply: bool = False) -> DataFrame:
 
 
 def exact_dedup(records: DataFrame, key: str, order: str) -> DataFrame:
-    """The first record by ``order`` of each normalised ``key``."""
+    """The first record by ``order`` of each normalised ``key``; its SHA-256 is shuffled in its place."""
     firsts = Window.partitionBy("_key").orderBy(order)
-    rows = records.withColumn("_key", normalise(F.col(key)))
+    rows = records.withColumn("_key", F.sha2(normalise(F.col(key)), 256))
     return rows.withColumn("_n", F.row_number().over(firsts)).where("_n = 1").drop("_n", "_key")
 
 
 def dedup_stats(records: DataFrame, key: str) -> DataFrame:
-    counts = records.agg(F.count("*").alias("before"), F.countDistinct(normalise(F.col(key))).alias("after"))
+    counts = records.agg(F.count("*").alias("before"), F.countDistinct(F.sha2(normalise(F.col(key)), 256)).alias("after"))
     return counts.withColumn("rate", F.when(F.col("before") == 0, 0.0).otherwise(1 - F.col("after") / F.col("before")))
 
 
