@@ -6,9 +6,10 @@ equal thirds. One weight vector w is shared across ordered thresholds t1 < t2 <
 t3: P(grade >= k) = sigmoid(w . x - t_k). ``severity`` is the expected grade, the
 sum of these. A text is ``toxic`` where P(grade >= 1) is at least one half.
 
-Features are x_v = 1 + log(1 + 200 * share of words that are v) for those words v of
-the text that are in a vocabulary chosen by their log odds among toxic and other training rows (at
-least ``MIN_DF`` rows, the ``VOCABULARY`` clearest). Learning uses a bounded
+Features are x_v = 1 + log(1 + 200 * share of words that are v) for those v of the
+text that are in a vocabulary, where v is a word or the beginning of words
+(``PREFIXES`` bytes), chosen by their log odds among toxic and other training rows
+(``MIN_ODDS`` and ``MIN_DF`` rows or more, the ``VOCABULARY`` clearest). Learning uses a bounded
 sample of about ``MAX_LABELLED`` labelled rows picked by a hash of doc_id;
 scoring is one pass over every whole text, without a shuffle.
 
@@ -33,6 +34,10 @@ GRADES = 3
 MAX_LABELLED = 12_000
 VOCABULARY = 2_000
 MIN_DF = 5
+#: Least log odds of a feature. What speaks against toxicity is left out: its sum grows with a text's length.
+MIN_ODDS = 1.0
+#: Lengths in bytes of the word beginnings that are features beside whole words.
+PREFIXES = (4, 5, 6)
 
 # Lower case; everything outside letters, digits and bytes from 0x80 parts words.
 _FOLD = bytes(
@@ -45,14 +50,20 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def forms(word: bytes) -> list[bytes]:
+    """The word and its beginnings, marked by an asterisk, which no token holds: inflected words share them."""
+    return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
+
+
 def sparse_features(text: str | None, vocabulary: dict[bytes, int]) -> tuple[list[int], list[float]]:
     words = tokens(text)
-    known = vocabulary.keys() & set(words)
-    if not known:
-        return [], []
-    count = Counter(w for w in words if w in known)
-    known = sorted(known)
-    return [vocabulary[w] for w in known], [1.0 + float(np.log1p(200 * count[w] / len(words))) for w in known]
+    count: Counter = Counter()
+    for word, n in Counter(words).items():
+        for form in forms(word):
+            if form in vocabulary:
+                count[form] += n
+    known = sorted(count)
+    return [vocabulary[f] for f in known], [1.0 + float(np.log1p(200 * count[f] / len(words))) for f in known]
 
 
 def _sigmoid(z):
@@ -98,7 +109,7 @@ def train_texts(texts: list[str | None], toxic: np.ndarray) -> dict:
     """The model from labelled texts: vocabulary, weights and thresholds."""
     df = [Counter(), Counter()]
     for t, y in zip(texts, toxic):
-        df[int(y)].update(set(tokens(t)))
+        df[int(y)].update({f for w in set(tokens(t)) for f in forms(w)})
     n1 = int(np.sum(toxic))
     n0 = len(texts) - n1
     if not n1 or not n0:
@@ -108,8 +119,8 @@ def train_texts(texts: list[str | None], toxic: np.ndarray) -> dict:
         for w in df[0].keys() | df[1].keys()
         if df[0][w] + df[1][w] >= min(MIN_DF, max(2, n1 // 2))
     }
-    weight = {w: abs(o) * np.sqrt(df[0][w] + df[1][w]) for w, o in odds.items()}
-    chosen = sorted(odds, key=lambda w: (-weight[w], w))[:VOCABULARY]
+    weight = {w: o * np.sqrt(df[0][w] + df[1][w]) for w, o in odds.items()}
+    chosen = sorted((w for w in odds if odds[w] >= MIN_ODDS), key=lambda w: (-weight[w], w))[:VOCABULARY]
     vocabulary = {w: i for i, w in enumerate(chosen)}
     marks = {w for w in chosen if odds[w] >= 2.0 and df[1][w] >= 0.02 * n1}
     density = np.zeros(len(texts))
@@ -121,7 +132,7 @@ def train_texts(texts: list[str | None], toxic: np.ndarray) -> dict:
         vals += x
         if toxic[i]:
             words = tokens(t)
-            density[i] = sum(w in marks for w in words) / max(1, len(words))
+            density[i] = sum(not marks.isdisjoint(forms(w)) for w in words) / max(1, len(words))
     grade = np.zeros(len(texts), dtype=np.int64)
     ill = np.flatnonzero(toxic)
     cuts = np.quantile(density[ill], np.arange(1, GRADES) / GRADES)
