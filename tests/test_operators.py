@@ -83,6 +83,14 @@ def test_greedy_dedup_equals_walk(spark, sf):
     assert sorted(r.ord for r in neighbours.greedy_dedup(v, 0.25).collect()) == keep
 
 
+def test_greedy_dedup_decides_every_row_of_a_drift(spark):
+    drift = vectors(spark, [[math.cos(0.006 * i), math.sin(0.006 * i)] for i in range(500)])
+    radius = math.cos(0.009)  # each row meets the next one only
+    assert sorted(r.ord for r in neighbours.greedy_dedup(drift, radius).collect()) == list(range(0, 500, 2))
+    short = drift.where("ord < 12")  # by rounds alone
+    assert sorted(r.ord for r in neighbours.greedy_dedup(short, radius, walk_edges=0).collect()) == list(range(0, 12, 2))
+
+
 def test_prior_match_ties_to_lowest(spark):
     got = {r.i: (r.j, r.cos) for r in neighbours.prior_matches(vectors(spark, [[1, 0], [1, 0], [1, 0]])).collect()}
     assert got == {0: (-1, 0.0), 1: (0, 1.0), 2: (0, 1.0)}
