@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnmill.operators import density, judging, ordering, sampling
 from turnmill.operators.components import components
-from turnmill.plans import reports, studies
+from turnmill.plans import registry, reports, studies
 from turnmill.streaming import incremental
 
 
@@ -67,6 +67,14 @@ def test_fewer_rows_than_samples_are_noise(spark):
     assert [r.cluster for r in got] == [-1, -1]
 
 
+def test_registered_sweep_covers_the_grid(monkeypatch):
+    monkeypatch.setattr(registry, "_vectors", lambda spark, sf_dir: None)
+    monkeypatch.setattr(density, "sweep_cells", lambda v, dims, cells, **_: [(d, *c) for d in dims for c in cells])
+    grid = studies.Grids()
+    got = registry.QUERIES["cluster_sweep"](None, "")
+    assert sorted(got) == sorted((d, *c) for d in grid.n_components for c in grid.cells()) and len(set(got)) == 36
+
+
 def test_audit_sample_takes_all_of_a_small_pool(spark):
     calls = spark.createDataFrame([(0, "h", "control")] + [(i, "a", "subject") for i in range(1, 4)], "i long, band string, arm string")
     assert sampling.audit_sample(calls, "i", 10).count() == 3

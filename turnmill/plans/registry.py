@@ -513,6 +513,6 @@ def density_clusters(spark, sf_dir):
 
 @query()
 def cluster_sweep(spark, sf_dir):
-    """Coverage and noise of twelve cells; a query over all 36 would repeat this for two more reductions."""
+    """Coverage and noise of the reference grid's 36 cells."""
     cells = [(m, s) for m in (15, 20, 30, 50) for s in (3, 5, 10)]
-    return density.sweep_cells(_vectors(spark, sf_dir), (10,), cells)
+    return density.sweep_cells(_vectors(spark, sf_dir), (5, 10, 20), cells)
