@@ -254,6 +254,17 @@ def test_packing(docs, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_added_token_in_a_text(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"a{end}", end, f"{end}{end}x", f" \n{end}  y\n", f"<|{end}|>", "<|endoftext|", f"word {end}\u00a0{end} " * 700]
+    for t in texts:
+        assert np.frombuffer(packing.encoder()(t), dtype="<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+    check_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 def test_tournament_is_first_fit():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 100, 200).tolist()
