@@ -75,6 +75,16 @@ def test_licence_expressions(odd, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_long_licence_expressions_are_whole():
+    names = [f"Licence-{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    want = [names[0], *(x for n in names[1:] for x in (n, "or"))]
+    assert license_scan.to_postfix(" OR ".join(names) + " and more words") == want[:-1] + ["more", "and", "or"]
+    assert license_scan.to_postfix(" OR ".join(names) + " see below") == want
+    assert license_scan.to_postfix("(" + " OR ".join(names) + ") see below") == want
+    assert license_scan.to_postfix("MIT OR (" + " OR ".join(names) + " see below") == ["MIT"]
+    assert license_scan.scan_text("SPDX-License-Identifier: (" + " OR ".join(names) + ") see")[5].count(",") == 59
+
+
 # -- op2
 def test_toxicity(spark, sf, docs, odd, none):
     labels = spark.read.parquet(f"{sf}/labels.parquet")

@@ -88,39 +88,45 @@ def permission(label: str) -> float:
     return UNKNOWN_PERMISSION if best is None else PERMISSION[best]
 
 
+def _parse(tokens: list[str]) -> tuple[int, list[str]]:
+    """How many tokens the longest well-formed beginning has, and the postfix form of all tokens if that is all."""
+    out, stack, operand, open_, longest = [], [], True, 0, 0
+    for n, t in enumerate(tokens, 1):
+        op = _RANK.get(t.lower())
+        if t == "(":
+            if not operand:
+                break
+            stack.append(t)
+            open_ += 1
+        elif t == ")":
+            if operand or not open_:
+                break
+            while stack[-1] != "(":
+                out.append(stack.pop())
+            stack.pop()
+            open_ -= 1
+        elif op:
+            if operand:
+                break
+            while stack and stack[-1] != "(" and _RANK[stack[-1]] >= op:
+                out.append(stack.pop())
+            stack.append(t.lower())
+            operand = True
+        else:
+            if not operand:
+                break
+            out.append(t)
+            operand = False
+        if not operand and not open_:
+            longest = n
+    return longest, out + stack[::-1]
+
+
 def to_postfix(text: str) -> list[str]:
     """Shunting-yard over the longest well-formed beginning of a line."""
     tokens = [m.group() for m in _TOKEN.finditer(text)]
-    for end in range(len(tokens), 0, -1):
-        out, stack, operand, good = [], [], True, True
-        for t in tokens[:end]:
-            op = _RANK.get(t.lower())
-            if t == "(":
-                good = operand
-                stack.append(t)
-            elif t == ")":
-                good = not operand and "(" in stack
-                while good and stack[-1] != "(":
-                    out.append(stack.pop())
-                if good:
-                    stack.pop()
-            elif op:
-                good = not operand
-                while good and stack and stack[-1] != "(" and _RANK[stack[-1]] >= op:
-                    out.append(stack.pop())
-                stack.append(t.lower())
-                operand = True
-            else:
-                good = operand
-                out.append(t)
-                operand = False
-            if not good:
-                break
-        if good and not operand and "(" not in stack:
-            return out + stack[::-1]
-        if end > 64:  # a line of prose: no expression is that long
-            tokens = tokens[:65]
-    return []
+    longest, _ = _parse(tokens)
+    return _parse(tokens[:longest])[1]
 
 
 def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
