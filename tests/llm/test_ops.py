@@ -163,6 +163,14 @@ def test_one_of_each(odd, none):
     assert simhash_dedup.one_of_each(none).count() == 0
 
 
+def test_one_of_each_where_an_id_stands_on_two_texts(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    c = "red green blue white black brown pink grey"
+    rows = [(1, a), (1, b), (1, b), (2, b), (5, c), (1, None), (None, c)]
+    got = simhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (1, b), (5, c), (1, None)]))
+
+
 # -- op4
 def test_shard_store(spark, tmp_path, odd, none):
     root = f"file://{tmp_path}/store"

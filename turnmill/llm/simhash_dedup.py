@@ -314,19 +314,25 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: its smallest doc_id.
 
-    Of rows that repeat the kept doc_id one stays. A group whose rows all lack a
+    Of rows of the group that repeat the kept doc_id one stays, with the smallest hash
+    of its text. A group whose rows all lack a
     doc_id keeps the row with the smallest hash of its text.
     """
     found = near_duplicates(docs)
-    by_id = found.select(F.col("component_id").alias("_keep")).where("_keep is not null").distinct()
+    # An id may stand on texts of several groups: a group's survivor is told by its text as well.
+    by_id = found.where("doc_id = component_id").groupBy("root").agg(
+        F.first("component_id").alias("_keep"), F.min("th").alias("_keep_th")
+    ).select("_keep", "_keep_th")
     by_text = found.where("component_id is null").groupBy("root").agg(F.min("th").alias("_keep")).select("_keep")
 
-    def first(rows: DataFrame, key: Column) -> DataFrame:
-        n = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    def first(rows: DataFrame, *key: Column) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
         return rows.withColumn("_turnmill_n", n).where("_turnmill_n = 1").drop("_turnmill_n")
 
-    named = first(docs.join(by_id, F.col("doc_id") == F.col("_keep"), "left_semi"), F.col("doc_id"))
     text = F.xxhash64(F.col("text").cast("string"))
+    named = docs.withColumn("_turnmill_th", text)
+    meets = (F.col("doc_id") == F.col("_keep")) & (F.col("_turnmill_th") == F.col("_keep_th"))
+    named = first(named.join(by_id, meets, "left_semi"), F.col("doc_id"), F.col("_turnmill_th")).drop("_turnmill_th")
     nameless = docs.where(F.col("doc_id").isNull()).withColumn("_turnmill_th", text)
     nameless = first(nameless.join(by_text, F.col("_turnmill_th") == F.col("_keep"), "left_semi"), F.col("_turnmill_th"))
     return named.unionByName(nameless.drop("_turnmill_th"))
