@@ -380,6 +380,18 @@ def test_html(spark, sf):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_pages_without_a_host_do_not_vote(spark):
+    main, other = "A long main text, of many words and more. " * 9, "Another main text in a layout of its own. " * 9
+    one = f'<body><div class="story"><p>{main}</p></div></body>'
+    two = f'<body><div class="text"><p>{other}</p></div><div class="story"><p>A short note of few words</p></div></body>'
+    rows = [(1, "/a", one), (2, "b.html", one), (3, "/c", two), (4, "http:///d", one), (5, "", one)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_extract.host_paths(pages).count() == 0
+    got = {r.page_id: r for r in html_extract.extract_pages(pages).collect()}
+    assert len(got) == 5 and not any(r.by_consensus for r in got.values())
+    assert got[3].text == other.strip() and got[1].text == got[5].text == main.strip()
+
+
 def test_html_equals_plain_cut(spark, sf):
     import html
 

@@ -279,7 +279,8 @@ def extract(text: str | None, path: str | None) -> tuple[str, bool]:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The host of a url in lower case; null where it has none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def _vote(batches):
