@@ -392,6 +392,60 @@ def test_pages_without_a_host_do_not_vote(spark):
     assert got[3].text == other.strip() and got[1].text == got[5].text == main.strip()
 
 
+ARTICLE = "<p>" + "The article says this and then says that. " * 12 + "</p>"
+SAID = ("The article says this and then says that. " * 12).strip()
+LAYOUTS = [  # page with %s in the article's place, and how often its text is the result
+    ('<div class="layout has-sidebar"><article>%s</article></div>', 1),
+    ('<div class="no-sidebar">%s</div>', 1),
+    ('<div class="post with-comments">%s</div>', 1),
+    ('<div data-x="a hidden b">%s</div>', 1),
+    ('<section class="social-policy">%s</section>', 1),
+    ('<div><div title="the hidden truth">%s</div></div>', 1),
+    ('<article>%s</article><article class="second">%s</article>', 2),
+    ('<div class="sidebar-left"><main>%s</main></div>', 1),
+    ('<form id="aspnet"><div id="c">%s</div></form>', 1),
+    ('<div id="c"><section>%s</section><section>%s</section></div>', 2),
+    ('<main><h1 id="comments">%s</h1></main>', 1),
+    ('<body class="menu-open sidebar">%s<ol class="comment-list"><li><article>me too</article></ol>', 1),
+    ('<table><tr><td class="left-menu">x<td>%s<tr><td>%s</table>', 2),
+    ('<div class="related-posts"><article>Read on</article></div>%s<div class="cookieBanner">yes</div>', 1),
+    ('<div class="ad">%s</div>', 0), ('<section id="comments">%s</section>', 0), ('<div hidden>%s</div>', 0),
+    ('<div style="color:red; display : none">%s</div>', 0), ("<aside>%s</aside>", 0), ('<div class="site-footer">%s</div>', 0),
+    ('<ul class="main-nav"><li>%s</ul>', 0), ('<div class="newsletter-signup">%s</div>', 0),
+]
+
+
+@pytest.mark.parametrize("layout,times", LAYOUTS)
+def test_html_layouts(layout, times):
+    n = layout.count("%s")
+    page = "<html><body><nav><a href=x>m</a></nav>" + layout % ((ARTICLE,) * n) + "<div class=advert-slot>buy</div></body>"
+    assert html_extract.extract(page, None)[0] == " ".join([SAID] * times)
+
+
+def test_html_is_linear():
+    import time
+
+    for page in ("<div>" * 200_000, "</b>" * 250_000, "<div>" + "<i>" * 60_000 + "<hr>" * 60_000, '<a b">"' * 40_000,
+                 "<ul>" + "<i>" * 60_000 + "<li></li>" * 60_000, "<b><section>" + "<i>" * 40_000 + "</b>" * 90_000):
+        began = time.time()
+        html_extract.extract(page, "html body")
+        assert time.time() - began < 15
+
+
+def test_lost_paths_without_broadcast(spark):
+    """Pages of hosts with two layouts, and pages in a third; the result is that of the broadcast."""
+    rows = []
+    for i in range(60):
+        body = (f'<div class="story">{ARTICLE}</div>' if i % 3 else f'<div class="text">{ARTICLE}</div><div class="story">{ARTICLE}</div>')
+        rows.append((i, f"http://h{i % 4}/x", f'<body><div class="top">a few words</div>{body}</body>'))
+    pages = spark.createDataFrame(rows + rows[:5], "page_id long, url string, html string")
+    read = html_extract.materialise(html_extract.parsed(pages), "test-pages")
+    one, other = (sorted(map(str, html_extract.with_host_path(read, n).select("page_id", "own", "path").collect())) for n in (1 << 20, 0))
+    assert one == other and len(one) == 65
+    got = html_extract.extract_pages(pages).collect()
+    assert {r.text.count("and then") for r in got if r.page_id % 3} == {12} and len(got) == 65
+
+
 def test_html_equals_plain_cut(spark, sf):
     import html
 

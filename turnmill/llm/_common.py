@@ -1,11 +1,12 @@
 """Helpers shared by the training-data operators.
 
-Every operator reads only the columns it names, so extra columns of an input
-(whatever they are called) never clash with the operator's own.
+Every operator reads only the columns it names and names its own with a prefix
+where rows travel whole, so extra columns of an input do not clash with them.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,18 +24,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a folder of this machine is set instead.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    session runs on this machine alone, as in tests, a folder of it is set instead.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="turnmill-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, and what
@@ -42,7 +45,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").parquet(path, compression=codec)
     back = spark.read.schema(df.schema).parquet(path)
     back._turnmill_path = path
     return back
