@@ -351,13 +351,51 @@ def test_mixing(docs, odd, none):
     assert mixing.mix_counts(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_repeated_rows_are_taken_to_the_target(spark):
+    """Sources of identical rows alone: their copies are numbered, so takings meet the targets."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i if s == "d" else 1, text, "en", s, i) for s, n in (("a", 600), ("b", 600), ("c", 600), ("d", 50)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = mixing.mix_counts(df).collect()
+    taken, want = collections.Counter(), slow_targets(dict(a=6000, b=6000, c=6000, d=500))
+    for r in got:
+        taken[r.source] += 10 * len(r.shards)
+        assert len(r.shards) <= 2
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 5 for s in want)
+    copies = mixing.mixed_documents(df).groupBy("source").count().collect()
+    assert {r.source: r["count"] * 10 for r in copies} == taken
+
+
 def test_splitting_tree_is_exact(spark):
     units = spark.range(300).select(
-        (F.col("id") % 3).cast("string").alias("source"), F.col("id").alias("block"), F.lit(100).cast("long").alias("words"),
-        F.lit(0).cast("long").alias("pass"), F.lit(False).alias("partial"),
+        (F.col("id") % 3).alias("n"), F.floor(F.col("id") / 3).alias("place"), F.lit(100).cast("long").alias("words"),
     )
-    got = mixing.split(units, shard_words=5000).groupBy("shard").count().collect()
-    assert len(got) == 6 and {r["count"] for r in got} == {50}
+    got = mixing.split(units, shard_words=5000).collect()
+    assert collections.Counter(r.shard for r in got) == dict.fromkeys(range(6), 50)
+    assert collections.Counter(r.n for r in got) == dict.fromkeys(range(3), 100) and len({(r.n, r.place) for r in got}) == 300
+
+
+def test_tree_quotas_are_hypergeometric(spark):
+    """Against exact probabilities: 40 000 draws of 6 from 5 + 7, and wide ones by mean and variance."""
+    u = (F.col("id") + 0.5) / 40_000
+    long = lambda n: F.lit(n).cast("long")
+    got = spark.range(40_000).select(mixing.hypergeometric(long(12), long(5), long(6), u).alias("x")).groupBy("x").count().collect()
+    want = {x: math.comb(5, x) * math.comb(7, 6 - x) / math.comb(12, 6) for x in range(6)}
+    assert {r.x: r["count"] / 40_000 for r in got} == pytest.approx({x: p for x, p in want.items() if p}, abs=1e-4)
+    x = np.array([r.x for r in spark.range(2000).select(mixing.hypergeometric(long(10**6), long(3 * 10**5), long(5 * 10**5), (F.col("id") + 0.5) / 2000).alias("x")).collect()])
+    assert x.mean() == pytest.approx(150_000, rel=1e-4) and x.var() == pytest.approx(52_500, rel=0.02)
+    for total, good, drawn in ((0, 0, 0), (5, 0, 3), (5, 5, 3), (5, 2, 5), (5, 3, 0)):
+        one = spark.range(1).select(mixing.hypergeometric(long(total), long(good), long(drawn), F.lit(0.999)).alias("x")).first().x
+        assert one == min(good, drawn)
+    quotas = spark.createDataFrame([(0, 1000), (1, 10), (2, 0), (3, 5000)], "n long, units long")
+    leaves = mixing.tree(quotas, 37).collect()
+    size = collections.Counter()
+    for r in leaves:
+        size[r.shard] += r.q
+    assert sum(size.values()) == 6010 and max(size.values()) - min(size.values()) <= 7 and len(size) == 37
+    for n, units in ((0, 1000), (1, 10), (3, 5000)):
+        parts = sorted((r.first, r.q) for r in leaves if r.n == n)
+        assert [p[0] for p in parts] == [sum(q for _, q in parts[:i]) for i in range(len(parts))] and sum(q for _, q in parts) == units
 
 
 # -- op8
