@@ -38,7 +38,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import numbered
 from ._common import materialise, read_table, words_of
 
 # Fixed values of the contract.
@@ -89,9 +88,17 @@ def weighed(base: DataFrame) -> DataFrame:
         F.sum(F.col("size") * F.col("copies")).alias("source_size"),
         F.coalesce(F.sum(F.when(F.col("size") > 0, F.col("copies"))), F.lit(0)).alias("n_rows"),
     )
-    placed = numbered(sizes.withColumn("_null", F.col("source").isNull().cast("int")), "_null", "source", name="n").drop("_null")
+    by = (F.col("source").isNull(), F.col("source"))
+    ordered = sizes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("id", F.monotonically_increasing_id())
+    fixed = materialise(ordered, "mix-ordered")
+    # An id holds its partition above 33 bits and the place in it below: one offset a partition makes it a number.
+    sums = fixed.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count("*").alias("in_part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("offset"))
+    n = F.col("offset") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = fixed.join(sums, F.shiftright("id", 33) == F.col("part")).withColumn("n", n.cast("long"))
     weight = F.get(F.array(*map(F.lit, WEIGHTS)), (F.col("n") % len(WEIGHTS)).cast("int"))
-    return materialise(placed.withColumn("weight", weight), "mix-sources")
+    return materialise(placed.select("source", "source_size", "n_rows", "n", weight.alias("weight")), "mix-sources")
 
 
 def targets(base: DataFrame) -> DataFrame:
