@@ -553,11 +553,36 @@ def test_quality_classifier(spark, docs, odd, none, sf):
     assert kept.columns == odd.columns
 
 
-def test_labels_of_held_out_rows_do_not_matter(spark, docs, sf):
+def test_labels_of_held_out_and_negative_rows_do_not_matter(spark, docs, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     other = labels.withColumn("quality", F.when(pu_quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = pu_quality.train(docs, labels), pu_quality.train(docs, other)
-    assert np.array_equal(a["w"], b["w"]) and a["offset"] == b["offset"]
+    a, b, c = pu_quality.train(docs, labels), pu_quality.train(docs, other), pu_quality.train(docs, labels.where("quality = 1"))
+    assert np.array_equal(a["w"], b["w"]) and np.array_equal(a["w"], c["w"]) and a["prior"] == b["prior"] == c["prior"]
+
+
+def test_risk_gradient_by_finite_differences(monkeypatch):
+    """One step of the optimiser moves along the risk's gradient, on both sides of the zero of its second term."""
+    rng = np.random.default_rng(6)
+    p, u = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3))
+    for prior in (0.2, 0.95):
+        w = rng.normal(0, 1, 3)
+
+        def parts(w):
+            gp, gu = p @ w, u @ w
+            return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+        slope = np.array([(np.subtract(parts(w + e), parts(w - e))) / 2e-6 for e in 1e-6 * np.eye(3)])
+        want = slope[:, 0] + slope[:, 1] if parts(w)[1] >= 0 else -slope[:, 1]
+        assert pu_quality.risk_gradient(p, u, w, prior) == pytest.approx(want, abs=1e-6)
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(7)
+    for share in (0.2, 0.5, 0.9):
+        p, u = rng.normal(2, 1, 4000), np.r_[rng.normal(2, 1, int(20_000 * share)), rng.normal(-2, 1, int(20_000 * (1 - share)))]
+        edges = np.quantile(p, np.linspace(0, 1, 200))
+        above = [np.array([(x >= e).sum() for e in edges]) for x in (u, p)]
+        assert pu_quality.best_bin(above[0], len(u), above[1], len(p)) == pytest.approx(share, abs=0.04)
 
 
 def test_nnpu_separates():

@@ -1,24 +1,29 @@
 """Quality classifier: positive-unlabelled learning with a non-negative risk.
 
-Trusted positives are rows labelled 1; unlabelled text is a sample of all other
-documents whose labels, if any, are not looked at. The class prior is estimated
-from the labelled rows. A linear model g over dense text statistics minimises
+Trusted positives are rows labelled 1; unlabelled text is a sample of all documents,
+whatever their label, and rows labelled 0 are never looked at. A linear model g over
+dense text statistics minimises
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
 with the logistic loss (Kiryo et al. 2017); where the second term turns negative,
-its gradient step is reversed. At last one slope and offset are fitted by the
-logistic loss on labelled rows, so that ``score`` reads as a probability.
+its gradient step is reversed. ``score`` is sigmoid(g).
 
-Learning reads labels only of rows whose crc32(doc_id as text) mod 5 is not 0,
-and only from a bounded sample: about ``MAX_LABELLED`` labelled and
-``MAX_UNLABELLED`` unlabelled documents, picked by a hash of doc_id. What reaches
-the driver are their feature rows, never texts. Scoring is one pass over every
-whole text, without a shuffle; the model travels in the closure (a few kB).
+The class prior comes from positives and unlabelled text alone, by the best bin
+(Garg et al. 2021): a classifier of positives against unlabelled text, fitted to one
+half of the positives, ranks the other half and **all** documents; of all thresholds c, the
+one with the least upper bound of share(documents >= c) / share(positives >= c) gives it.
+
+One pass turns whole texts into ``N_FEATURES`` numbers each, written once (a tenth of the
+texts' size); means, deviations, the ranking of all documents and the scores read those.
+The weights alone are fitted to bounded samples: about ``MAX_POSITIVE`` positives
+and ``MAX_UNLABELLED`` ids, picked by a hash of doc_id (and one row of each id). What
+reaches the driver are their features. Labels are read only of rows whose
+crc32(doc_id as text) mod 5 is not 0.
 
 Defined cases: null and empty texts get the score of a text without words; rows
-with a null doc_id are not held out and not learnt from; repeated rows repeat;
-without both classes of labelled rows every score is the prior (or 0.5); an
+with a null doc_id are not held out, not learnt from, but counted and scored; repeated rows
+repeat; without labelled positives or unlabelled text every score is 0.5; an
 empty table gives an empty result.
 """
 
@@ -29,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import materialise, read_table
 
 FOLDS = 5
 THRESHOLD = 0.3
-MAX_LABELLED = 12_000
+MAX_POSITIVE = 12_000
 MAX_UNLABELLED = 12_000
+#: Thresholds that the prior is sought at, and the risk that its bound is off.
+THRESHOLDS = 400
+DELTA = 0.1
 
 _KINDS = np.zeros(256, dtype=np.int64)
 for _c in range(256):
@@ -78,37 +86,58 @@ def held_out(doc_id):
 
 def _sampled(doc_id, share: float, salt: str):
     """True for about ``share`` of the ids, the same ones in every run."""
-    return F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000 + 0.5)
+    return F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.lit(1 << 53)) < int(min(1.0, share) * (1 << 53))
+
+
+def _array(x: np.ndarray) -> pa.ListArray:
+    places = pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32())
+    return pa.ListArray.from_arrays(places, pa.array(x.reshape(-1), pa.float32()))
+
 
+def _matrix(column) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(-1, N_FEATURES)
 
-def _feature_rows(batches):
-    for batch in batches:
-        x = [features(t) for t in batch.column("text").to_pylist()]
-        flat = np.array(x, dtype=np.float32).reshape(-1)
-        x = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * N_FEATURES, pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("y"), x], names=["y", "x"])
 
+def featured(texts: list[str | None]) -> np.ndarray:
+    return np.array([features(t) for t in texts], dtype=np.float32).reshape(-1, N_FEATURES)
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, max_unlabelled: int):
-    """(y, x): y is 1 or 0 for sampled labelled rows, -1 for unlabelled text."""
+
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) of every document, written once."""
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            x = _array(featured(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], names=["doc_id", "x"])
+
+    return materialise(slim.mapInArrow(run, "doc_id long, x array<float>"), "quality-features")
+
+
+def _picked(rows: DataFrame) -> np.ndarray:
+    """Features of one row of each id, in order of ids."""
+    table = rows.groupBy("doc_id").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
+    return _matrix(table.column("x"))
+
+
+def training_rows(rows: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int):
+    """Features of sampled positives and of sampled unlabelled text."""
     labels = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["quality"].cast("int").alias("_q"))
-    labels = labels.where("_q in (0, 1) and _id is not null").where(~held_out(F.col("_id")))
-    share = max_labelled / max(1, labels.count())
-    # A sample of about max_labelled rows: its size is bounded by that parameter.
-    some = labels.where(_sampled(F.col("_id"), share, "labelled")).groupBy("_id").agg(F.max("_q").alias("_q"))
-    share = max_unlabelled / max(1, docs.count())
-    slim = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("text"))
-    slim = slim.where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    joined = slim.join(F.broadcast(some), "_id", "left").where(
-        F.col("_q").isNotNull() | _sampled(F.col("_id"), share, "unlabelled")
-    )
-    got = joined.select(F.coalesce("_q", F.lit(-1)).cast("int").alias("y"), "text")
-    table = got.mapInArrow(_feature_rows, "y int, x array<float>").toArrow()
-    y = table.column("y").to_numpy()
-    x = table.column("x").combine_chunks()
-    values = np.asarray(x.values if len(y) else [], dtype=np.float64).reshape(-1, N_FEATURES)
-    order = np.lexsort((*values.T[:8], y)) if len(y) else np.arange(0)  # partition order must not matter
-    return y[order], values[order]
+    good = labels.where("_q = 1 and _id is not null").where(~held_out(F.col("_id"))).select("_id").distinct()
+    # Ids of about max_positive rows: bounded by that parameter.
+    some = good.where(_sampled(F.col("_id"), max_positive / max(1, good.count()), "positive"))
+    positive = _picked(rows.join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left_semi"))
+    share = max_unlabelled / max(1, rows.count())
+    return positive, _picked(rows.where(F.col("doc_id").isNotNull() & _sampled(F.col("doc_id"), share, "unlabelled")))
+
+
+def scale(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature over all rows; rounded, so that the order of additions does not show."""
+    parts = [f(F.get("x", F.lit(i)).cast("double")) for f in (F.avg, F.stddev_pop) for i in range(N_FEATURES)]
+    got = np.array([0.0 if v is None else v for v in rows.agg(*parts).first()])
+    mean, std = np.round(got[:N_FEATURES], 6), np.round(got[N_FEATURES:], 6)
+    return mean, np.where(std < 1e-6, 1.0, std)
 
 
 def _sigmoid(z):
@@ -121,84 +150,132 @@ def expand(z: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z / 6, np.ones((len(z), 1))], axis=1)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05,
-             decay: float = 1e-4) -> np.ndarray:
-    """Weights that minimise the non-negative PU risk, by full-batch Adam."""
-    w = np.zeros(positive.shape[1])
+def risk_gradient(positive: np.ndarray, unlabelled: np.ndarray, w: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the PU risk; reversed for its second term alone where that is negative."""
+    gp, gu = positive @ w, unlabelled @ w
+    d_pos = -(_sigmoid(-gp)) @ positive / len(positive)  # of E_p[l(g)]
+    d_pos_neg = _sigmoid(gp) @ positive / len(positive)  # of E_p[l(-g)]
+    d_unl = _sigmoid(gu) @ unlabelled / len(unlabelled)  # of E_u[l(-g)]
+    if np.logaddexp(0, gu).mean() >= prior * np.logaddexp(0, gp).mean():
+        return prior * d_pos + d_unl - prior * d_pos_neg
+    return prior * d_pos_neg - d_unl
+
+
+def _descend(gradient, width: int, steps: int, rate: float, decay: float) -> np.ndarray:
+    """Full-batch Adam from zero."""
+    w = np.zeros(width)
     m, v = w.copy(), w.copy()
     for t in range(1, steps + 1):
-        gp, gu = positive @ w, unlabelled @ w
-        d_pos = -(_sigmoid(-gp)) @ positive / len(positive)  # of E_p[l(g)]
-        d_pos_neg = _sigmoid(gp) @ positive / len(positive)  # of E_p[l(-g)]
-        d_unl = _sigmoid(gu) @ unlabelled / len(unlabelled)  # of E_u[l(-g)]
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        if negative >= 0:
-            grad = prior * d_pos + d_unl - prior * d_pos_neg
-        else:
-            grad = -(d_unl - prior * d_pos_neg)
-        grad = grad + decay * w
+        grad = gradient(w) + decay * w
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def fit_scale(g: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of the labelled rows' log odds, by Newton steps."""
-    scale = max(1e-9, np.std(g))
-    x = np.stack([g / scale, np.ones(len(g))], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = _sigmoid(x @ w)
-        grad = x.T @ (p - y) / len(y) + 1e-4 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-4 * np.eye(2)
-        w = w - np.linalg.solve(hess, grad)
-    return max(1e-3, float(w[0])) / scale, float(w[1])
-
-
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
-          max_unlabelled: int = MAX_UNLABELLED) -> dict:
-    y, x = training_rows(docs, labels, max_labelled, max_unlabelled)
-    positive, labelled = y == 1, y >= 0
-    prior = float(positive.sum() / labelled.sum()) if labelled.any() else 0.5
-    if not positive.any() or not (y == 0).any():
-        return {"prior": prior}
-    prior = min(max(prior, 0.01), 0.99)
-    mean, std = x.mean(axis=0), x.std(axis=0)
-    std[std < 1e-6] = 1.0
-    z = expand((x - mean) / std)
-    # Labelled rows are a part of all text too; as unlabelled ones their labels are not used.
-    w = fit_nnpu(z[positive], z, prior)
-    slope, offset = fit_scale(z[labelled] @ w, (y[labelled] == 1).astype(float))
-    return {"prior": prior, "mean": mean, "std": std, "w": w, "slope": slope, "offset": offset}
-
-
-def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
-    if "w" not in model:
-        return np.full(len(texts), model["prior"])
-    x = np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)
-    return _sigmoid((expand((x - model["mean"]) / model["std"]) @ model["w"]) * model["slope"] + model["offset"])
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05,
+             decay: float = 1e-4) -> np.ndarray:
+    """Weights that minimise the non-negative PU risk."""
+    return _descend(lambda w: risk_gradient(positive, unlabelled, w, prior), positive.shape[1], steps, rate, decay)
 
 
-def score_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each document."""
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+def fit_ranking(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic classifier of positives against unlabelled text, both of equal weight."""
+
+    def gradient(w):
+        return _sigmoid(unlabelled @ w) @ unlabelled / len(unlabelled) - _sigmoid(-(positive @ w)) @ positive / len(positive)
+
+    return _descend(gradient, positive.shape[1], steps, rate, decay)
+
+
+def best_bin(above_u: np.ndarray, n_u: int, above_p: np.ndarray, n_p: int, delta: float = DELTA) -> float:
+    """The class prior, from the numbers of unlabelled and of positive rows at or above each threshold."""
+    share_u, share_p = above_u / n_u, above_p / n_p
+    slack = np.sqrt(np.log(4 / delta) / (2 * n_u)) + np.sqrt(np.log(4 / delta) / (2 * n_p))
+    bound = (share_u + slack) / np.maximum(share_p, 1e-12)
+    return float(min(1.0, share_u[np.argmin(bound)] / max(share_p[np.argmin(bound)], 1e-12)))
+
+
+def ranked_above(rows: DataFrame, model: dict, w: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many of all rows score at or above each of the rising ``edges``."""
 
     def run(batches):
         for batch in batches:
-            s = score_texts(model, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+            g = expand((_matrix(batch.column("x")) - model["mean"]) / model["std"]) @ w
+            n = np.bincount(np.searchsorted(edges, g, side="right"), minlength=len(edges) + 1)
+            held = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(n[held], pa.int64())], names=["bin", "n"])
+
+    counts = rows.select("x").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(len(edges) + 1, dtype=np.int64)
+    for r in counts:  # one row a threshold
+        n[r["bin"]] = r["n"]
+    return np.cumsum(n[::-1])[::-1][1:]
+
+
+def estimate_prior(rows: DataFrame, model: dict, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among all rows; ``positive`` and ``unlabelled`` are expanded."""
+    w = fit_ranking(positive[::2], unlabelled)
+    g = np.sort(positive[1::2] @ w)
+    edges = np.unique(g[np.linspace(0, len(g) - 1, min(THRESHOLDS, len(g))).astype(int)])
+    above_p = len(g) - np.searchsorted(g, edges, side="left")
+    return best_bin(ranked_above(rows, model, w, edges), max(1, rows.count()), above_p, len(g))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict:
+    return train_features(feature_rows(docs), labels, max_positive, max_unlabelled)
+
 
-    got = slim.mapInArrow(run, "doc_id long, score double")
+def train_features(rows: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict:
+    positive, unlabelled = training_rows(rows, labels, max_positive, max_unlabelled)
+    if len(positive) < 2 or not len(unlabelled):
+        return {}
+    mean, std = scale(rows)
+    model = {"mean": mean, "std": std}
+    positive, unlabelled = (expand((x - mean) / std) for x in (positive, unlabelled))
+    prior = min(max(estimate_prior(rows, model, positive, unlabelled), 0.01), 0.99)
+    return model | {"prior": prior, "w": fit_nnpu(positive, unlabelled, prior)}
+
+
+def score_features(model: dict, x: np.ndarray) -> np.ndarray:
+    if not model:
+        return np.full(len(x), 0.5)
+    return _sigmoid(expand((x.astype(np.float64) - model["mean"]) / model["std"]) @ model["w"])
+
+
+def _judged(got: DataFrame) -> DataFrame:
     return got.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
+def score_rows(rows: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of features."""
+
+    def run(batches):
+        for batch in batches:
+            s = score_features(model, _matrix(batch.column("x")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+
+    return _judged(rows.mapInArrow(run, "doc_id long, score double"))
+
+
+def score_documents(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each document."""
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            s = score_features(model, featured(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+
+    return _judged(slim.mapInArrow(run, "doc_id long, score double"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
+    rows = feature_rows(read_table(spark, sf_dir, "documents"))
+    return score_rows(rows, train_features(rows, read_table(spark, sf_dir, "labels")))
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -209,7 +286,7 @@ def keep_predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             text = batch.column(names.index("text"))
-            good = pa.array(score_texts(model, text.to_pylist()) >= THRESHOLD)
+            good = pa.array(score_features(model, featured(text.to_pylist())) >= THRESHOLD)
             yield batch.filter(good)
 
     return docs.mapInArrow(run, docs.schema)
