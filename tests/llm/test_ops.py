@@ -98,6 +98,42 @@ def test_toxicity(spark, sf, docs, odd, none):
     assert [r.severity for r in ordinal_toxicity.score_documents(odd, empty).collect()] == [0.0] * len(ODD)
 
 
+def test_ordinal_gradient_and_expected_severity(spark):
+    rng = np.random.default_rng(8)
+    grade = rng.integers(0, 4, 30)
+    rows, cols, vals = rng.integers(0, 30, 90), rng.integers(0, 5, 90), rng.normal(size=90)
+    p = rng.normal(size=8)
+    _, grad = ordinal_toxicity.negative_log_likelihood(p, rows, cols, vals, grade, 5)
+    for i in range(8):
+        up, down = (ordinal_toxicity.negative_log_likelihood(p + d * np.eye(8)[i], rows, cols, vals, grade, 5)[0] for d in (1e-6, -1e-6))
+        assert grad[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+    model = {"vocabulary": {b"vile": 0, b"rude": 1}, "w": np.array([1.5, 0.7]), "theta": np.array([1.0, 2.0, 4.5])}
+    texts = ["a vile day", "rude and VILE words, rude", "good", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ordinal_toxicity.score_documents(df, model).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall("[a-z]+", (t or "").lower())
+        s = sum(c * (1 + math.log(1 + 200 * w.count(x) / len(w))) for x, c in (("vile", 1.5), ("rude", 0.7)) if x in w)
+        above = [1.0, *(1 / (1 + math.exp(k - s)) for k in (1.0, 2.0, 4.5)), 0.0]
+        exact = [above[k] - above[k + 1] for k in range(4)]  # of each grade
+        assert got[i].severity == pytest.approx(sum(k * q for k, q in enumerate(exact))) and got[i].toxic == (above[1] >= 0.5)
+
+
+def test_grades_come_from_the_spread_over_sentences():
+    assert ordinal_toxicity.spread("Vile one. Good two!\nviles three... ok", {b"vile", b"vile*"}) == 0.5
+    assert ordinal_toxicity.spread(None, {b"vile"}) == 0.0
+    share = np.array([0.9, 0.1, 0.5, 0.2, 0.8, 0.4, 0.0])
+    assert ordinal_toxicity.grades(np.array([1, 1, 1, 1, 1, 1, 0], dtype=bool), share).tolist() == [3, 1, 2, 1, 3, 2, 0]
+
+
+def test_toxicity_learns_one_text_of_an_id(spark):
+    rows = [(i, "vile words here" if i % 2 else "kind words here") for i in range(200)] + [(1, "kind words"), (3, "so kind")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ordinal_toxicity.train(df, labels), ordinal_toxicity.train(df.repartition(5), labels)
+    assert a["vocabulary"] == b["vocabulary"] and np.array_equal(a["w"], b["w"])
+
+
 # -- op3
 def slow_fingerprint(t):
     w = space_words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
