@@ -10,7 +10,8 @@ minimum over all notices and expressions of a text, 0 where it has none.
 
 Defined cases: a null text counts as empty (no words, no labels, score 0); a null
 doc_id stays null; repeated rows give repeated results; an empty table gives an
-empty result; a malformed expression keeps its longest well-formed beginning.
+empty result; a malformed expression keeps its longest well-formed beginning, and
+a word of prose after a tag is no licence.
 The operator is a narrow map: no shuffle, and memory bounded by one text.
 """
 
@@ -71,6 +72,7 @@ _FOLD = bytes(
 )
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_LINE_END = re.compile(r"[\r\n]")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -88,6 +90,11 @@ def permission(label: str) -> float:
     return UNKNOWN_PERMISSION if best is None else PERMISSION[best]
 
 
+def is_identifier(name: str) -> bool:
+    """A known licence, or a name that looks like one: with a digit, a hyphen, or in capitals; no word of prose."""
+    return permission(canonical(name)) != UNKNOWN_PERMISSION or bool(re.search(r"[0-9-]", name)) or (len(name) > 1 and name.isupper())
+
+
 def _parse(tokens: list[str]) -> tuple[int, list[str]]:
     """How many tokens the longest well-formed beginning has, and the postfix form of all tokens if that is all."""
     out, stack, operand, open_, longest = [], [], True, 0, 0
@@ -113,7 +120,7 @@ def _parse(tokens: list[str]) -> tuple[int, list[str]]:
             stack.append(t.lower())
             operand = True
         else:
-            if not operand:
+            if not operand or not (is_identifier(t) or out and stack and stack[-1] == "with"):
                 break
             out.append(t)
             operand = False
@@ -175,12 +182,13 @@ def scan_text(text: str | None) -> tuple:
     hits = [(end + 1 - len(v[1]) - 2, v) for end, v in _automaton().iter(line)]
     hits.sort(key=lambda h: h[0])
     at, word, starts = 0, 0, []
-    base, labels, scores, tags, said = set(), set(), [], [], []
+    base, labels, scores, tags, tag_starts, said = set(), set(), [], [], [], []
     for start, (kind, phrase, label) in hits:
         word += line.count(" ", at, start)
         at = start
         if kind == "tag":
             tags.append(word + phrase.count(" "))
+            tag_starts.append(word)
             continue
         if kind == "base":
             starts.append(word)
@@ -188,10 +196,13 @@ def scan_text(text: str | None) -> tuple:
         labels.add(label)
         scores.append(permission(label))
     if tags:
-        ends = [m.end() for m in _WORD.finditer(text)]
-        for last in tags:
-            rest = re.split(r"[\r\n]", text[ends[last]:], maxsplit=1)[0]
-            postfix = to_postfix(rest)
+        spans = [m.span() for m in _WORD.finditer(text)]
+        # An expression ends with its line, or where the next tag begins.
+        stops = [spans[n][0] for n in tag_starts[1:]] + [len(text)]
+        for last, stop in zip(tags, stops):
+            at = spans[last][1]
+            end = _LINE_END.search(text, at, max(at, stop))
+            postfix = to_postfix(text[at : end.start() if end else max(at, stop)])
             if postfix:
                 value, named = evaluate(postfix)
                 scores.append(value)

@@ -12,10 +12,14 @@ them. ``compact`` groups shards that are not full by size tier (powers of
 committed, until no tier is ripe. A row is rewritten once per tier that it climbs,
 so O(log(target / arrival)) times. Merging coalesces scan partitions: no shuffle.
 
-A manifest is written aside and then renamed to the next version's name, which
-fails if another writer has taken it: readers see a whole version or none, and a
-failed job leaves files that no manifest names, which ``vacuum`` removes. The
-driver handles file names and sizes only; a lost executor's task writes its file
+A manifest holds what its version adds and removes, and every ``FULL_EVERY``-th the whole
+list, so a commit writes little and a reader follows a few manifests. It is written aside
+and then renamed to the next version's name, which fails if another writer has taken it:
+readers see a whole version or none. That needs an atomic rename without overwriting, as HDFS
+and local files have; on an object store without one, commits need its put-if-absent in the
+rename's place. A failed job leaves files that no manifest names; ``vacuum``
+removes those older than its grace period, which must exceed the longest write, and a commit
+checks that the files it names are still there. The driver handles file names and sizes only; a lost executor's task writes its file
 again under Spark's commit protocol.
 
 Defined cases: nulls, empty and very long texts, repeated rows and extra columns
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +45,9 @@ FANOUT = 4
 #: Size of tier 0.
 BASE_BYTES = 1 << 20
 ARRIVALS = 8
+FULL_EVERY = 16
+#: Files younger than this may be a writer's that has not committed yet.
+GRACE_SECONDS = 7 * 24 * 3600
 #: Shards whose list (about 100 bytes each) is broadcast, and salts of a longer list's join.
 BROADCAST_SHARDS = 20_000
 SALTS = 64
@@ -65,23 +73,44 @@ class ShardStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path("_manifests"))]
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def shards(self, version: int | None = None) -> list[dict]:
-        """The shards of a version: id, path below the root, bytes and tier."""
-        version = self.version() if version is None else version
-        if not version:
-            return []
+    def _manifest(self, version: int) -> dict:
         stream = self._fs.open(self._path(f"_manifests/v{version:09d}.json"))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return json.loads(text)["shards"]
 
-    def commit(self, shards: list[dict], after: int) -> int:
-        """Make ``shards`` version ``after`` + 1, or raise Conflict."""
+    def shards(self, version: int | None = None) -> list[dict]:
+        """The shards of a version: id, path below the root, bytes and tier."""
+        version = self.version() if version is None else version
+        steps = []
+        while version:
+            steps.append(self._manifest(version))
+            if "all" in steps[-1]:
+                break
+            version -= 1
+        found: dict[int, dict] = {}
+        for step in reversed(steps):
+            for s in step.get("all", step["add"]):
+                found[s["id"]] = s
+            for n in step["remove"]:
+                found.pop(n, None)
+        return list(found.values())
+
+    def commit(self, add: list[dict], remove: list[int], after: int) -> int:
+        """Make version ``after`` + 1, which adds and removes shards, or raise Conflict."""
+        now = {s["id"]: s for s in self.shards(after)}
+        first = max(now, default=-1) + 1
+        new = [{**s, "id": first + i} for i, s in enumerate(add)]
+        for s in new:
+            if not self._fs.exists(self._path(s["path"])):
+                raise FileNotFoundError(f"{s['path']} was removed before it was committed")
+        manifest = {"version": after + 1, "add": new, "remove": remove}
+        if (after + 1) % FULL_EVERY == 0:
+            manifest["all"] = [s for n, s in now.items() if n not in set(remove)] + new
         aside = self._path(f"_manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(aside, False)
-        out.write(bytearray(json.dumps({"version": after + 1, "shards": shards}).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self._conf)
         kind = self._jvm.org.apache.hadoop.fs.Options.Rename
@@ -109,33 +138,30 @@ class ShardStore:
     def tier(self, size: int) -> int:
         return 0 if size <= BASE_BYTES else 1 + int(math.log(size / BASE_BYTES, self.fanout))
 
-    def _numbered(self, old: list[dict], new: list[dict]) -> list[dict]:
-        first = max((s["id"] for s in old), default=-1) + 1
-        return [{"id": first + i, **s} for i, s in enumerate(new)]
-
     # -- writing -----------------------------------------------------------
     def append(self, arrival: DataFrame) -> int:
         folder = f"data/{uuid.uuid4().hex}"
         arrival.write.parquet(f"{self.root}/{folder}")
         return self.adopt(folder)
 
-    def adopt(self, folder: str) -> int:
-        """Commit the files of a folder below the root as one arrival."""
+    def adopt(self, folder: str, files: list[dict] | None = None) -> int:
+        """Commit the files of a folder below the root, or the given ones of it, as one arrival."""
+        files = self._found(folder) if files is None else files
         while True:
-            at = self.version()
-            now = self.shards(at)
             try:
-                return self.commit(now + self._numbered(now, self._found(folder)), at)
+                return self.commit(files, [], self.version())
             except Conflict:
                 continue
 
     def append_split(self, rows: DataFrame, arrivals: int) -> list[int]:
-        """Deal rows into arrivals by a hash, write all in one pass, commit one by one."""
+        """Deal rows evenly into arrivals, write all in one pass, commit one by one."""
         folder = f"data/{uuid.uuid4().hex}"
-        by = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns[:2])), F.lit(arrivals))
+        by = F.pmod(F.monotonically_increasing_id(), F.lit(arrivals))
         rows.withColumn(_ARRIVAL, by).write.partitionBy(_ARRIVAL).parquet(f"{self.root}/{folder}")
-        parts = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]
-        return [self.adopt(f"{folder}/{p}") for p in sorted(parts) if p.startswith(_ARRIVAL)]
+        parts: dict[str, list[dict]] = {}
+        for s in self._found(folder):
+            parts.setdefault(s["path"].rpartition("/")[0], []).append(s)
+        return [self.adopt(part, files) for part, files in sorted(parts.items())]
 
     def ripe(self, shards: list[dict]) -> list[dict]:
         """The runs of the lowest tier with enough of them, or none."""
@@ -158,17 +184,18 @@ class ShardStore:
             files = max(1, round(sum(s["bytes"] for s in runs) / self.target))
             merged = self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in runs))
             merged.coalesce(files).write.parquet(f"{self.root}/{folder}")
-            gone = {s["id"] for s in runs}
-            kept = [s for s in now if s["id"] not in gone]
             try:
-                self.commit(kept + self._numbered(now, self._found(folder)), at)
+                self.commit(self._found(folder), [s["id"] for s in runs], at)
             except Conflict:  # someone was faster: the merged files stay unnamed
                 self._fs.delete(self._path(folder), True)
 
-    def vacuum(self) -> int:
-        """Delete data files that the latest version does not name; how many."""
+    def vacuum(self, grace_seconds: float = GRACE_SECONDS) -> int:
+        """Delete data files older than the grace period that the latest version does not name; how many."""
+        before = (time.time() - grace_seconds) * 1000
+        found = self._found("data")
         named = {s["path"] for s in self.shards()}
-        old = [s["path"] for s in self._found("data") if s["path"] not in named]
+        old = [s["path"] for s in found if s["path"] not in named]
+        old = [p for p in old if self._fs.getFileStatus(self._path(p)).getModificationTime() <= before]
         for path in old:
             self._fs.delete(self._path(path), False)
         return len(old)
@@ -181,13 +208,14 @@ class ShardStore:
         that list anyhow: up to ``BROADCAST_SHARDS`` shards it is broadcast, beyond
         that rows are salted, so that no shard gathers in one task.
         """
-        facts = [(s["path"].rpartition("/")[2], s["id"], s["tier"], s["bytes"]) for s in self.shards(version)]
+        facts = [(s["path"], s["id"], s["tier"], s["bytes"]) for s in self.shards(version)]
         kinds = "_turnmill_name string, shard_id long, tier int, shard_bytes long"
         known = self.spark.createDataFrame(facts, kinds)
         if facts:
-            rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in self.shards(version)))
-            # Part files carry their job's UUID, so a file's name is unique.
-            file = F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("_turnmill_file")
+            rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{f[0]}" for f in facts))
+            # A task's files of several arrivals have one name: only the path below the root is unique.
+            below = F.substring_index(F.col("_metadata.file_path"), "/data/", -1)
+            file = F.concat(F.lit("data/"), below).alias("_turnmill_file")
         else:
             rows, file = self.spark.createDataFrame([], schema), F.lit(None).cast("string").alias("_turnmill_file")
         own = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard_id", "tier", "shard_bytes")]
@@ -212,6 +240,6 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     store.append_split(docs, ARRIVALS)
     version = store.compact(docs.schema)
-    store.vacuum()
+    store.vacuum(grace_seconds=0)  # the store is this query's own: nobody else writes
     columns = [F.col("doc_id"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32")]
     return store.read(docs.schema, version, columns).withColumn("version", F.lit(version))

@@ -7,13 +7,16 @@ one query block, so neither the queries nor a popular vector makes a task
 unbounded, and no side is broadcast.
 
 First, tiles of the longest candidates alone give each query its k-th best score
-so far, a floor under its final one. Then, in every tile, the floor over (query
-length * largest length in the block) is the query's local cosine threshold:
-above 1, the block is pruned; from ``COORDINATE_FROM`` on, candidates are pruned
-by the intervals that the threshold allows on the query's largest coordinates;
-below that, by length alone (a prefix of the block, ordered by falling length).
-What is left is verified by exact integer products. A tile hands on k rows a
-query, and a window per query merges them.
+so far, a floor under its final one. A tile whose longest candidate cannot reach the floor
+of any of its queries is dropped before anything is copied to it. In a tile, the floor over (query
+length * candidate length) is a candidate's local cosine threshold. Above 1 it is
+pruned by its length alone, which cuts a prefix of the block, ordered by falling length. What is
+left may be pruned by coordinates: the products over the query's largest coordinates (those
+that hold ``FOCUS`` of its squared length) plus the product of the lengths of
+the rests bound the score. Each query and block chooses: where of ``PROBES`` candidates, evenly taken from the
+prefix, no more than ``SURVIVORS`` pass the bound, coordinates prune; else length
+alone does. Candidates that survive are verified by exact integer products. A tile
+hands on k rows a query, and a window per query merges them.
 
 Bounds carry a relative slack of 1e-9, far above rounding in doubles, so they
 never lose a result; products are integers below 2^53 and exact (larger ones are
@@ -21,7 +24,8 @@ computed in 64-bit integers).
 
 Defined cases: null vectors and vectors with null or non-finite components take
 no part, nor do rows without vec_id; vectors of different dimension have no
-score; rows that repeat a vec_id with the same vector count once; ties go to the
+score; rows that repeat a vec_id with the same vector count once; of query rows that
+repeat an id with other vectors the one with the smallest vector is searched; ties go to the
 smaller vec_id; an empty table gives an empty result.
 """
 
@@ -41,8 +45,11 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 #: Norm buckets per doubling of the norm.
 PER_OCTAVE = 4
-COORDINATE_FROM = 0.6
-FOCUS = 4
+#: Share of a query's squared length in the coordinates that prune.
+FOCUS = 0.9
+#: Largest estimated share of survivors with which coordinates prune, and the candidates that it is estimated from.
+SURVIVORS = 0.5
+PROBES = 128
 SLACK = 1e-9
 _PER_CHUNK = 256
 
@@ -71,8 +78,15 @@ def blocked(vectors: DataFrame) -> DataFrame:
     return rows.drop("d", "b", "parts")
 
 
-def top_of_tile(q_ids, q, floors, c_ids, c, k: int = K):
-    """Rows (query_id, vec_id, score) of one tile: each query's k best, or fewer."""
+def top_of_tile(q_ids, q, floors, c_ids, c, k: int = K, work: dict | None = None):
+    """Rows (query_id, vec_id, score) of one tile: each query's k best, or fewer.
+
+    ``work`` gets the numbers of (query, candidate) pairs: all, ``within`` those that length leaves,
+    ``verified`` by a whole product, and of queries that were pruned by ``coordinate``.
+    """
+    work = {} if work is None else work
+    for name in ("all", "within", "verified", "coordinate"):
+        work.setdefault(name, 0)
     q_norm, c_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
     order = np.lexsort((c_ids, -c_norm))
     c, c_ids, c_norm = c[order], c_ids[order], c_norm[order]
@@ -82,11 +96,15 @@ def top_of_tile(q_ids, q, floors, c_ids, c, k: int = K):
     for n in np.flatnonzero(c_ids[by_id][1:] == c_ids[by_id][:-1]):
         twin[by_id[n + 1]] = np.array_equal(c[by_id[n]], c[by_id[n + 1]])
     c, c_ids, c_norm = c[~twin], c_ids[~twin], c_norm[~twin]
-    longest = c_norm[0] if len(c) else 0.0
-    reach = q_norm * longest
-    alive = np.isneginf(floors) | (floors <= reach * (1 + SLACK))
     exact = c.shape[1] == 0 or (np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * c.shape[1] < 2**53)
-    unit = c / np.where(c_norm > 0, c_norm, 1.0)[:, None]
+    across = np.ascontiguousarray(c.T)
+    squares = across * across
+    # Candidates shorter than this cannot reach the floor.
+    need = np.where(np.isneginf(floors) | (q_norm == 0) | (floors <= 0), 0.0, floors / np.where(q_norm > 0, q_norm, 1.0))
+    lost = (q_norm == 0) & (floors > 0)
+    prefix = np.where(lost, 0, np.searchsorted(-c_norm, -need * (1 - SLACK), side="right"))
+    work["all"] += len(q) * len(c)
+    work["within"] += int(prefix.sum())
     out = []
 
     def keep(i, ids, scores):
@@ -103,27 +121,38 @@ def top_of_tile(q_ids, q, floors, c_ids, c, k: int = K):
     def product(a, b):
         return b @ a if exact else b.astype(np.int64) @ a.astype(np.int64)
 
-    local = np.where(np.isneginf(floors) | (reach == 0), -np.inf, floors / np.where(reach > 0, reach, 1.0))
-    by_coordinate = alive & (local >= COORDINATE_FROM)
-    for i in np.flatnonzero(by_coordinate):
-        theta = min(1.0, local[i] * (1 - SLACK))
-        a = q[i] / q_norm[i]
-        left = np.arange(np.searchsorted(-c_norm, -floors[i] / q_norm[i] * (1 - SLACK), side="right"))
-        for f in np.argsort(-np.abs(a), kind="stable")[:FOCUS]:
-            half = np.sqrt(max(0.0, (1 - theta * theta) * (1 - a[f] * a[f]))) + 1e-7
-            x = unit[left, f]
-            # Only a cosine of at least theta can reach the floor; then a coordinate is within this interval.
-            left = left[(x >= a[f] * theta - half) if a[f] >= 0 else (x <= a[f] * theta + half)]
+    def passing(i, focus, rest, places):
+        """Of candidates at ``places`` (a slice) those whose bound reaches the floor."""
+        part = q[i, focus] @ across[focus, places]
+        left = np.maximum(c_norm[places] ** 2 - squares[focus, places].sum(axis=0), 0.0)
+        slack = SLACK * (q_norm[i] * c_norm[places] + 1.0)
+        return part + rest * np.sqrt(left + SLACK * c_norm[places] ** 2) + slack >= floors[i]
+
+    by_length = []
+    for i in np.flatnonzero(prefix):
+        if need[i] <= 0 or prefix[i] < 2 * PROBES:
+            by_length.append(i)
+            continue
+        largest = np.argsort(-np.abs(q[i]), kind="stable")
+        held = np.cumsum(q[i, largest] ** 2)
+        focus = np.sort(largest[: 1 + np.searchsorted(held, FOCUS * held[-1])])
+        rest = np.sqrt(max(0.0, held[-1] - held[len(focus) - 1])) * (1 + SLACK)
+        step = prefix[i] // PROBES
+        if passing(i, focus, rest, slice(0, step * PROBES, step)).mean() > SURVIVORS:
+            by_length.append(i)
+            continue
+        left = np.flatnonzero(passing(i, focus, rest, slice(0, prefix[i])))
+        work["coordinate"] += 1
+        work["verified"] += len(left)
         keep(i, c_ids[left], product(q[i], c[left]))
-    by_length = np.flatnonzero(alive & ~by_coordinate)
+    by_length = np.array(by_length, dtype=np.int64)
     for start in range(0, len(by_length), _PER_CHUNK):
         chunk = by_length[start : start + _PER_CHUNK]
-        need = np.where(np.isneginf(floors[chunk]) | (q_norm[chunk] == 0) | (floors[chunk] <= 0), 0.0,
-                        floors[chunk] / np.where(q_norm[chunk] > 0, q_norm[chunk], 1.0))
-        prefix = np.searchsorted(-c_norm, -need.min() * (1 - SLACK), side="right")
-        scores = product(q[chunk].T, c[:prefix]).T
+        longest = prefix[chunk].max()
+        work["verified"] += int(longest) * len(chunk)
+        scores = product(q[chunk].T, c[:longest]).T
         for i, s in zip(chunk, scores):
-            keep(i, c_ids[:prefix], s)
+            keep(i, c_ids[:longest], s)
     return out
 
 
@@ -137,55 +166,55 @@ def _tile(k: int):
         is_q = side == 1
         out = []
         if is_q.any() and not is_q.all():
-            q_ids, first = np.unique(ids[is_q], return_index=True)
-            out = top_of_tile(q_ids, v[is_q][first], floors[is_q][first], ids[~is_q], v[~is_q], k)
+            out = top_of_tile(ids[is_q], v[is_q], floors[is_q], ids[~is_q], v[~is_q], k)
         parts = [np.concatenate([o[n] for o in out]) if out else np.zeros(0) for n in range(3)]
         return pa.table({n: pa.array(p.astype(np.int64)) for n, p in zip(("query_id", "vec_id", "score"), parts)})
 
     return run
 
 
-def _tiles(queries: DataFrame, candidates: DataFrame, blocks: DataFrame, q_parts: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each query in each tile."""
-    dealt_q = queries.join(blocks, F.col("dim") == F.col("d")).select(
-        "dim", "bucket", "part", "q_part", F.lit(1).alias("side"), "vec_id", "floor", "v"
-    )
-    dealt_c = candidates.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).select(
-        "dim", "bucket", "part", "q_part", F.lit(0).alias("side"), "vec_id", F.lit(float("-inf")).alias("floor"), "v"
+def _tiles(queries: DataFrame, candidates: DataFrame, tiles: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query in each of ``tiles`` (dim, bucket, part, q_part)."""
+    tiles = tiles.select(*(F.col(c).alias(f"t_{c}") for c in ("dim", "bucket", "part", "q_part")))
+    names = ["t_dim", "t_bucket", "t_part", "t_q_part"]
+    dealt_q = queries.join(tiles, (F.col("dim") == F.col("t_dim")) & (F.col("q_part") == F.col("t_q_part"))).select(
+        *names, F.lit(1).alias("side"), "vec_id", "floor", "v"
     )
-    return (
-        dealt_q.unionByName(dealt_c)
-        .groupBy("dim", "bucket", "part", "q_part")
-        .applyInArrow(_tile(k), "query_id long, vec_id long, score long")
+    at = (F.col("dim") == F.col("t_dim")) & (F.col("bucket") == F.col("t_bucket")) & (F.col("part") == F.col("t_part"))
+    dealt_c = candidates.join(tiles, at).select(
+        *names, F.lit(0).alias("side"), "vec_id", F.lit(float("-inf")).alias("floor"), "v"
     )
+    return dealt_q.unionByName(dealt_c).groupBy(*names).applyInArrow(_tile(k), "query_id long, vec_id long, score long")
+
+
+def reachable(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Tiles (dim, bucket, part, q_part) in which the longest candidate can reach the floor of a query."""
+    need = F.when(F.col("floor") <= 0, 0.0).when(F.col("norm") == 0, float("inf")).otherwise(F.col("floor") / F.col("norm"))
+    parts = queries.groupBy(F.col("dim").alias("d"), "q_part").agg(F.min(need).alias("need"))
+    met = blocks.join(parts, (F.col("dim") == F.col("d")) & (F.col("longest") * (1 + SLACK) >= F.col("need")))
+    return met.select("dim", "bucket", "part", "q_part")
 
 
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest integer inner products."""
     rows = materialise(blocked(quantised(vectors)), "vectors")
-    queries = rows.where(is_query)
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "norm")).alias("x"))
+    queries = materialise(queries.select("vec_id", "x.dim", "x.norm", "x.v"), "queries")
     q_parts = max(1, -(-queries.count() // QUERY_ROWS))
     queries = queries.withColumn("q_part", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(q_parts)).cast("int"))
-    queries = queries.select("dim", "q_part", "vec_id", "v")
-    blocks = materialise(rows.select("dim", "bucket", "part").distinct(), "blocks")
-    as_blocks = blocks.select(F.col("dim").alias("d"), "bucket", "part")
+    blocks = materialise(rows.groupBy("dim", "bucket", "part").agg(F.max("norm").alias("longest")), "blocks")
 
     # One block of the longest vectors of each dimension gives every query a floor.
-    first = blocks.groupBy("dim").agg(F.max(F.struct("bucket", "part")).alias("f"))
-    first = first.select(F.col("dim").alias("d"), F.col("f.bucket").alias("bucket"), F.col("f.part").alias("part"))
-    top = rows.join(
-        first.select("d", F.col("bucket").alias("b"), F.col("part").alias("p")),
-        (F.col("dim") == F.col("d")) & (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")),
-        "left_semi",
-    )
-    opened = queries.withColumn("floor", F.lit(float("-inf")))
-    seen = _tiles(opened, top, first, q_parts, k)
+    first = blocks.groupBy(F.col("dim").alias("d")).agg(F.max(F.struct("bucket", "part")).alias("f"))
+    parts = queries.select("dim", "q_part").distinct()
+    first = first.join(parts, F.col("d") == F.col("dim")).select("dim", "f.bucket", "f.part", "q_part")
+    seen = _tiles(queries.withColumn("floor", F.lit(float("-inf"))), rows, first, k)
     floors = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
     floors = materialise(floors.where(F.col("n") >= k).select("query_id", F.col("low").cast("double").alias("low")), "floors")
     floored = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").withColumn(
         "floor", F.coalesce("low", F.lit(float("-inf")))
     )
-    found = _tiles(floored, rows, as_blocks, q_parts, k)
+    found = _tiles(floored, rows, reachable(floored, blocks), k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     rank = F.row_number().over(best)
     ranked = found.select("query_id", "vec_id", "score", rank.cast("int").alias("rank"))
