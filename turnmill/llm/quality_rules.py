@@ -1,6 +1,6 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
-``RULES`` is a table of (measure, least, most). ``measures`` turns every whole
+``RULES`` is a table of (measure, least, most, words from which it holds). ``measures`` turns every whole
 text into counts and ratios of its length, symbols, stop words and lines with
 built-in functions alone, and ``verdict`` folds the table into one boolean
 column, so that the plan is a scan, projections and nothing else: no shuffle, no
@@ -27,17 +27,16 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 
-#: measure, least, most; None leaves a side open. A text fails outside of any.
-RULES: list[tuple[str, float | None, float | None]] = [
-    ("mean_word_chars", 2.0, 15.0),
-    ("symbol_char_ratio", None, 0.10),
-    ("symbol_word_ratio", None, 0.30),
-    ("bang_word_ratio", None, 0.30),
-    ("dup_line_ratio", None, 0.50),
-    ("stop_word_ratio", 0.02, None),
+#: measure, least, most (None leaves a side open), and the fewest words of a text that the
+#: rule judges: a short one has too few for a ratio of stop words to tell. A text fails outside of any.
+RULES: list[tuple[str, float | None, float | None, int]] = [
+    ("mean_word_chars", 2.0, 15.0, 0),
+    ("symbol_char_ratio", None, 0.10, 0),
+    ("symbol_word_ratio", None, 0.30, 0),
+    ("bang_word_ratio", None, 0.30, 0),
+    ("dup_line_ratio", None, 0.50, 0),
+    ("stop_word_ratio", 0.02, None, 50),
 ]
-#: Texts of fewer words are too short for a ratio of stop words to tell.
-STOP_WORDS_FROM = 50
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = [
     "the", "be", "to", "of", "and", "that", "have", "with", "a", "in", "is", "it", "for", "on", "as", "at", "by",
@@ -47,10 +46,10 @@ STOP_WORDS = [
 ]
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in windows of WINDOW that stand twice or more in the text, as a column.
+def window_keys(words: Column) -> Column:
+    """The hash of each window of WINDOW words, from the hashes of its words.
 
-    ``words`` must be a plain column, since it is used more than once.
+    ``words`` (hashes) must be a plain column, since it is used more than once.
     """
     n = F.size(words)
     at = F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))
@@ -84,22 +83,25 @@ def _covered(keys: Column) -> tuple[Column, Column]:
 def measures(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with the contract's counts and the table's ratios."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
+    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     got = docs.select("doc_id", text.alias("_text")).select(
         "doc_id", "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines")
     )
     words = F.col("_words")
+    hashes = F.transform(words, lambda w: F.xxhash64(w)).alias("_hashes")
+    symbols = F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))
+    got = got.select("*", hashes, symbols.cast("long").alias("n_symbols"))
     got = got.select(
         "doc_id",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        "n_symbols",
         F.size("_lines").cast("long").alias("_n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("_stops"),
-        F.size(F.filter(words, lambda w: w.rlike(r"[#*$%&|<>]"))).cast("long").alias("_symbol_words"),
+        F.when(F.col("n_symbols") == 0, F.lit(0)).otherwise(F.size(F.filter(words, lambda w: w.rlike(r"[#*$%&|<>]")))).cast("long").alias("_symbol_words"),
         F.size(F.filter(words, lambda w: w.endswith("!!"))).cast("long").alias("_bang_words"),
-        repeated_words(words).alias("_keys"),
+        window_keys(F.col("_hashes")).alias("_keys"),
     )
     # Only texts in which a window repeats go on to the sort.
     twice = F.size("_keys") > F.size(F.array_distinct("_keys"))
@@ -122,18 +124,20 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.col("_symbol_words") / n).alias("symbol_word_ratio"),
         (F.col("_bang_words") / n).alias("bang_word_ratio"),
         (F.col("n_dup_lines") / F.greatest("_n_lines", F.lit(1))).alias("dup_line_ratio"),
-        F.when(F.col("n_words") < STOP_WORDS_FROM, F.lit(1.0)).otherwise(F.col("_stops") / n).alias("stop_word_ratio"),
+        (F.col("_stops") / n).alias("stop_word_ratio"),
     )
 
 
 def verdict(rules=RULES) -> Column:
     """The rule table as one boolean column: true where every measure is in range."""
     ok = F.lit(True)
-    for measure, least, most in rules:
+    for measure, least, most, words in rules:
+        inside = F.lit(True)
         if least is not None:
-            ok = ok & (F.col(measure) >= least)
+            inside = inside & (F.col(measure) >= least)
         if most is not None:
-            ok = ok & (F.col(measure) <= most)
+            inside = inside & (F.col(measure) <= most)
+        ok = ok & (inside if not words else (F.col("n_words") < words) | inside)
     return ok
 
 
@@ -151,14 +155,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = judge(read_table(spark, sf_dir, "documents"))
     return got.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        *(F.round(m, 9).alias(m) for m, _, _ in RULES),
+        *(F.round(r[0], 9).alias(r[0]) for r in RULES),
     )
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns, in one pass without a join."""
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    packed = docs.select(row.alias("doc_id"), F.col("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    packed = docs.select(row.alias("doc_id"), docs["text"])
     # Optimizer barrier: a filter does not move below a projection with a row number, which
     # would write the nested array expressions out once more at each of their uses.
     judged = judge(packed, rules).withColumn("_row", F.monotonically_increasing_id())

@@ -10,7 +10,7 @@ from .mixing import op7_mixing
 from .ordinal_toxicity import op2_toxicity
 from .packing import op6_packing
 from .pu_quality import op10_quality_classifier
-from .quality_rules import RULES, STOP_WORDS, STOP_WORDS_FROM, op5_quality_rules
+from .quality_rules import RULES, STOP_WORDS, op5_quality_rules
 from .shard_store import op4_sharding
 from .simhash_dedup import op3_simhash_near_dedup
 from .topk_search import op9_topk_search
@@ -38,8 +38,9 @@ QUERIES = {
 }
 
 _BOUNDS = " AND ".join(
-    f"{m} {sign} {bound}" for m, least, most in RULES for sign, bound in ((">=", least), ("<=", most)) if bound is not None
-)
+    f"(n_words < {words} OR {m} {sign} {bound})"
+    for m, least, most, words in RULES for sign, bound in ((">=", least), ("<=", most)) if bound is not None
+)
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 
 ORACLES = {
@@ -74,12 +75,12 @@ q AS (
          symbol_words / greatest(n_words, 1)::DOUBLE AS symbol_word_ratio,
          bang_words / greatest(n_words, 1)::DOUBLE AS bang_word_ratio,
          n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_ratio,
-         CASE WHEN n_words < {STOP_WORDS_FROM} THEN 1.0 ELSE stops / greatest(n_words, 1)::DOUBLE END AS stop_word_ratio,
+         stops / greatest(n_words, 1)::DOUBLE AS stop_word_ratio,
          n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {_BOUNDS} AS kept,
-       {", ".join(f"round({m}, 9) AS {m}" for m, _, _ in RULES)}
+       {", ".join(f"round({r[0]}, 9) AS {r[0]}" for r in RULES)}
 FROM q""",
     "op9_topk_search": """
 WITH v AS (
