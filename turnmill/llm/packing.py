@@ -5,7 +5,9 @@
    CRC travels on. What is left of a document, under ``LENGTH`` ids, is its tail.
 2. Documents are dealt into groups of about ``GROUP_ROWS`` by a hash, whatever
    their order or source; so the number of groups follows the input and a group
-   fits in a task's memory (its tails are 4 kB a row at most).
+   fits in a task's memory (its tails are 4 kB a row at most). Rows alike in id and text that
+   stand more than ``GROUP_ROWS`` times would meet in one: they are counted first, one of them is
+   turned into ids, and its copies are dealt like other rows.
 3. Within a group tails are taken in order of falling length, and each goes to
    the first bin with room for it. The leaves of a tournament tree are the bins'
    free capacities and each node holds the larger of its two; a descent that
@@ -28,14 +30,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import materialise, read_table
 
 LENGTH = 2048
 GROUP_ROWS = 1024
 MIN_GAP = 32
+#: Rows that stand more than GROUP_ROWS times (of 24 bytes each) whose list is broadcast.
+BROADCAST_ROWS = 100_000
+_SPAN = 1 << 16
 END_ID = 1
 #: The one added token of byte_bpe_50k.json: found in a text before the pattern is, as the tokenizers library does.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
@@ -222,13 +227,31 @@ def pack(docs: DataFrame, capacity: int = LENGTH, group_rows: int = GROUP_ROWS,
     """One row per piece of a document in its sequence."""
     groups = max(1, -(-docs.count() // group_rows))
     doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
-    slim = docs.select(
-        F.pmod(F.xxhash64(doc_id, F.xxhash64(text), F.lit("packing")), F.lit(groups)).alias("g"),
-        doc_id.alias("doc_id"), text.alias("text"),
-    )
-    ids = slim.mapInArrow(
-        _tokenise(ranks_path, capacity), "g long, doc_id long, tokens long, whole array<long>, tail binary"
-    )
+    slim = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    often = slim.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.count("*").alias("copies"))
+    often = materialise(often.where(F.col("copies") > group_rows), "often")
+    n_often = often.count()
+    kinds = "g long, doc_id long, tokens long, whole array<long>, tail binary"
+
+    def group(*more) -> Column:
+        return F.pmod(F.xxhash64("doc_id", "th", F.lit("packing"), *more), F.lit(groups)).alias("g")
+
+    def tokenised(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(_tokenise(ranks_path, capacity), kinds)
+
+    if not n_often:
+        ids = tokenised(slim.select(group(), "doc_id", "text"))
+    else:
+        known = F.broadcast(often) if n_often <= BROADCAST_ROWS else often
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+        ids = tokenised(slim.join(known, same, "left_anti").select(group(), "doc_id", "text"))
+        one = slim.join(known, same).groupBy("doc_id", "th").agg(F.max("copies").alias("copies"), F.min("text").alias("text"))
+        one = tokenised(one.select(F.col("copies").alias("g"), "doc_id", "text")).withColumnRenamed("g", "copies")
+        one = one.withColumn("th", F.xxhash64("whole", "tail"))
+        spans = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _SPAN))).alias("span"))
+        every = F.sequence(F.col("span") * _SPAN, F.least(F.col("copies"), (F.col("span") + 1) * _SPAN) - 1)
+        copies = spans.repartition("doc_id", "th", "span").select("*", F.explode(every).alias("copy"))
+        ids = ids.unionByName(copies.select(group("copy"), "doc_id", "tokens", "whole", "tail"))
     return ids.groupBy("g").applyInArrow(_pack_group(capacity, min_gap), SCHEMA)
 
 
