@@ -221,6 +221,31 @@ def test_one_of_each_where_an_id_stands_on_two_texts(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (1, b), (5, c), (1, None)]))
 
 
+def test_one_of_each_prefers_ids_to_rows_without(spark):
+    a = "alpha beta gamma delta epsilon zeta eta theta"
+    for text in (a.upper(), a + " ", "\t" + a, a.title()):  # one of them has a smaller hash than a
+        rows = [(None, text, 1), (4, a, 2), (4, a, 3), (9, text, 4), (None, a, 5)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, _keep int")
+        got = simhash_dedup.one_of_each(df).collect()
+        assert [(r.doc_id, r.text) for r in got] == [(4, a)] and got[0]["_keep"] == 2
+
+
+def test_hot_band_keys_lose_no_link(spark, monkeypatch):
+    """Fingerprints that share 32 bits and more, with small tiles: split by parts and then by chunks."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    low = rng.integers(0, 2**32, 150, dtype=np.uint64)
+    fps = np.unique(np.r_[low, low ^ np.uint64(1 << 3), low[:40] ^ np.uint64(1 << 30 | 1 << 12), rng.integers(0, 2**10, 60, dtype=np.uint64)])
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.link_fingerprints(df)).collect()}
+    got, want = collections.defaultdict(set), collections.defaultdict(set)
+    for f in fps:
+        got[roots.get(int(f.view(np.int64)), int(f.view(np.int64)))].add(int(f))
+    for f, r in slow_components({int(f) for f in fps}).items():
+        want[r].add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 # -- op4
 def test_shard_store(spark, tmp_path, odd, none):
     root = f"file://{tmp_path}/store"
@@ -393,6 +418,20 @@ def test_pack_lengths_loses_nothing():
             assert at == lengths[i]
 
 
+def test_rows_that_repeat_by_thousands_are_dealt(spark):
+    """A row repeated beyond a group's size is packed as often as it stands, over several groups."""
+    text = "some words that repeat " * 150
+    rows = [(1, text)] * 130 + [(None, None)] * 90 + [(i, f"text {i}") for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, group_rows=40).collect()
+    n = len(packing.encoder()(text)) // 2 + 1
+    assert collections.Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0)[1, n] == 130
+    assert sum(r.length for r in got if r.doc_id == 1) == 130 * n and sum(r.length for r in got if r.doc_id is None) == 90
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id == 1}) > 3
+    whole = packing.pack(df).collect()
+    assert sum(r.length for r in whole) == sum(r.length for r in got)
+
+
 # -- op7
 def slow_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)

@@ -5,8 +5,10 @@
 2. Rows fold into distinct fingerprints (map-side combined), so that exact copies
    cost one row however many there are.
 3. Candidates: two fingerprints within 2 bits agree on two of four 16-bit bands
-   at least, so six band pairs give six 32-bit keys and no link is lost. Keys held
-   by more than ``BLOCK`` fingerprints are dealt into chunks, and each pair of
+   at least, so six band pairs give six 32-bit keys and no link is lost. Of the 32 bits
+   outside a key, cut in three, a link leaves one part alike: keys held by more than
+   ``BLOCK`` fingerprints are split by these parts, three copies a row instead of one a block.
+   What is still larger is dealt into chunks, and each pair of
    chunks is a tile of its own: no key makes a task unbounded.
 4. Within a tile the fingerprints stand as vertical bit planes, 64 rows to a
    machine word. Distances of all rows to all others grow plane by plane in
@@ -28,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import discard, materialise, read_table
@@ -39,6 +41,8 @@ RADIUS = 2
 BANDS = 4
 #: Rows of a tile's side.
 BLOCK = 1024
+#: Rows that go (of 16 bytes each) whose list is broadcast.
+BROADCAST_ROWS = 500_000
 _PAIRS = list(combinations(range(BANDS), BANDS - RADIUS))
 _U1 = np.uint64(1)
 
@@ -217,6 +221,32 @@ def _band_key(fp: Column, bands: tuple[int, ...]) -> Column:
     return key
 
 
+def _part_key(pair: Column, fp: Column) -> Column:
+    """The three parts of the 32 bits outside each band pair, numbered from 1."""
+    options = []
+    for n, bands in enumerate(_PAIRS):
+        rest = _band_key(fp, tuple(b for b in range(BANDS) if b not in bands))
+        parts = [F.shiftrightunsigned(rest, low).bitwiseAND(F.lit((1 << size) - 1).cast("long")) for low, size in ((0, 11), (11, 11), (22, 10))]
+        options.append((n, F.array(*(F.struct(F.lit(i + 1).alias("part"), p.alias("bits")) for i, p in enumerate(parts)))))
+    out = None
+    for n, parts in options:
+        out = F.when(pair == n, parts) if out is None else out.when(pair == n, parts)
+    return out
+
+
+def _large(keyed: DataFrame, names: list[str]) -> DataFrame:
+    """Keys of more than BLOCK rows, with their count; written, so that Spark may split a hot key's rows in joins."""
+    counts = keyed.groupBy(*names).count().where(F.col("count") > BLOCK)
+    return materialise(counts.select(*(F.col(n).alias(f"l_{n}") for n in names), "count"), "large-keys")
+
+
+def _meets(names: list[str]) -> Column:
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.col(n) == F.col(f"l_{n}"))
+    return same
+
+
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """(u, v): links that span every component of the distinct ``fp`` values."""
     keyed = fps.select(
@@ -225,16 +255,24 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
             F.array(*(F.struct(F.lit(i).alias("pair"), _band_key(F.col("fp"), p).alias("key")) for i, p in enumerate(_PAIRS)))
         ).alias("k"),
     ).select("k.pair", "k.key", "fp")
-    large = keyed.groupBy("pair", "key").count().where(F.col("count") > BLOCK)
+    names = ["pair", "key"]
+    large = _large(keyed, names)
+    whole = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("bits"))
+    split = keyed.join(large, _meets(names), "left").withColumn(
+        "p", F.explode(F.when(F.col("count").isNull(), F.array(whole)).otherwise(_part_key(F.col("pair"), F.col("fp"))))
+    ).select("pair", "key", "p.part", "p.bits", "fp")
+    names = ["pair", "key", "part", "bits"]
     n = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit("chunk")), F.col("n")).cast("int")  # an even deal
+    still = _large(split.where("part > 0"), names)
     dealt = (
-        keyed.join(large, ["pair", "key"], "left")
-        .select("pair", "key", "fp", n.alias("n"))
+        split.join(still, _meets(names), "left")
+        .select(*names, "fp", n.alias("n"))
         .withColumn("own", own)
-        .select("pair", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        .select(*names, "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         .select(
-            "pair", "key",
+            # One number tells tiles of a pair apart as well as key, part and bits do, up to links that are checked anyhow.
+            "pair", F.xxhash64("key", "part", "bits").alias("key"),
             F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
             (F.col("own") > F.col("other")).cast("int").alias("side"), "fp",
         )
@@ -315,24 +353,33 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: its smallest doc_id.
 
     Of rows of the group that repeat the kept doc_id one stays, with the smallest hash
-    of its text. A group whose rows all lack a
-    doc_id keeps the row with the smallest hash of its text.
+    of its text. A group whose rows all lack a doc_id keeps the row with the smallest hash
+    of its text.
+
+    What goes is decided on (doc_id, hash of text) alone. Rows with an id and text that goes
+    meet that list, a broadcast up to ``BROADCAST_ROWS`` of it; rows alike in both that stand
+    more than once are few, and only their texts are shuffled, folded to one row each.
     """
     found = near_duplicates(docs)
     # An id may stand on texts of several groups: a group's survivor is told by its text as well.
-    by_id = found.where("doc_id = component_id").groupBy("root").agg(
-        F.first("component_id").alias("_keep"), F.min("th").alias("_keep_th")
-    ).select("_keep", "_keep_th")
-    by_text = found.where("component_id is null").groupBy("root").agg(F.min("th").alias("_keep")).select("_keep")
-
-    def first(rows: DataFrame, *key: Column) -> DataFrame:
-        n = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-        return rows.withColumn("_turnmill_n", n).where("_turnmill_n = 1").drop("_turnmill_n")
-
-    text = F.xxhash64(F.col("text").cast("string"))
-    named = docs.withColumn("_turnmill_th", text)
-    meets = (F.col("doc_id") == F.col("_keep")) & (F.col("_turnmill_th") == F.col("_keep_th"))
-    named = first(named.join(by_id, meets, "left_semi"), F.col("doc_id"), F.col("_turnmill_th")).drop("_turnmill_th")
-    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_turnmill_th", text)
-    nameless = first(nameless.join(by_text, F.col("_turnmill_th") == F.col("_keep"), "left_semi"), F.col("_turnmill_th"))
-    return named.unionByName(nameless.drop("_turnmill_th"))
+    ranked = F.struct((~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"), "th")
+    groups = found.groupBy("root").agg(F.min(ranked)["th"].alias("kept_th"), F.min("component_id").alias("kept_id"))
+    # Joins of the written slim rows: Spark splits the rows of a hot group.
+    groups = materialise(groups.select(F.col("root").alias("kept_root"), "kept_th", "kept_id"), "groups")
+    met = found.select("root", "doc_id", "th").join(groups, F.col("root") == F.col("kept_root"))
+    kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("th").eqNullSafe(F.col("kept_th"))
+    marks = met.groupBy(F.col("doc_id").alias("_turnmill_id"), F.col("th").alias("_turnmill_th")).agg(
+        F.max(kept.cast("int")).alias("_turnmill_kept"), F.count("*").alias("_turnmill_n")
+    )
+    marks = materialise(marks.where("_turnmill_kept = 0 or _turnmill_n > 1"), "dropped")
+    some = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    rows = docs.withColumn("_turnmill_text", F.xxhash64(docs["text"].cast("string")))
+    same = rows["doc_id"].cast("long").eqNullSafe(F.col("_turnmill_id")) & (F.col("_turnmill_text") == F.col("_turnmill_th"))
+    rows = rows.join(some, same, "left").where("_turnmill_kept is null or _turnmill_kept = 1")
+    once = rows.where("_turnmill_n is null").select(*(F.col(f"`{c}`") for c in docs.columns))
+    often = rows.where("_turnmill_n is not null").select(
+        "_turnmill_id", "_turnmill_th", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_turnmill_row")
+    )
+    # Which of the rows alike stays does not depend on the partitioning.
+    often = often.groupBy("_turnmill_id", "_turnmill_th").agg(F.min_by("_turnmill_row", F.to_json("_turnmill_row")).alias("_turnmill_row"))
+    return once.unionByName(often.select("_turnmill_row.*"))
