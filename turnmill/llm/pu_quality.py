@@ -132,12 +132,26 @@ def training_rows(rows: DataFrame, labels: DataFrame, max_positive: int, max_unl
     return positive, _picked(rows.where(F.col("doc_id").isNotNull() & _sampled(F.col("doc_id"), share, "unlabelled")))
 
 
+def _sums(batches):
+    for batch in batches:
+        x = _matrix(batch.column("x"))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(N_FEATURES), pa.int32()), pa.array(np.full(N_FEATURES, len(x)), pa.int64()),
+                pa.array(x.sum(axis=0)), pa.array((x * x).sum(axis=0)),
+            ],
+            names=["i", "n", "s", "q"],
+        )
+
+
 def scale(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Mean and deviation of each feature over all rows; rounded, so that the order of additions does not show."""
-    parts = [f(F.get("x", F.lit(i)).cast("double")) for f in (F.avg, F.stddev_pop) for i in range(N_FEATURES)]
-    got = np.array([0.0 if v is None else v for v in rows.agg(*parts).first()])
-    mean, std = np.round(got[:N_FEATURES], 6), np.round(got[N_FEATURES:], 6)
-    return mean, np.where(std < 1e-6, 1.0, std)
+    sums = rows.select("x").mapInArrow(_sums, "i int, n long, s double, q double")
+    got = sums.groupBy("i").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q"))).orderBy("i").collect()  # one row a feature
+    mean = np.array([r["s"] / r["n"] for r in got])
+    std = np.sqrt(np.maximum(np.array([r["q"] / r["n"] for r in got]) - mean * mean, 0.0))
+    mean, std = np.round(mean, 6), np.round(std, 6)
+    return mean, np.where(std < 1e-4, 1.0, std)
 
 
 def _sigmoid(z):
