@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,28 +17,43 @@ T_PRED = (0.70, 0.80, 0.90, 0.95)
 T_SERVE = (0.90, 0.95, 0.98)
 
 
-def miss_path_cost(p_small: Column, c_small: Column) -> Column:
-    return p_small * c_small + (1.0 - p_small)
-
+@dataclass(frozen=True)
+class Prices:
+    """Costs as shares of the frontier model's, and the savings that make a cache worthwhile."""
 
-def blended_cost(p_cache: Column, p_small: Column, c_cache: Column, c_small: Column) -> Column:
-    return c_cache + (1.0 - p_cache) * miss_path_cost(p_small, c_small)
+    c_cache: float = C_CACHE
+    c_small: float = C_SMALL
+    p_small: float = P_SMALL
+    s_target: float = S_TARGET
 
 
 def savings(p_cache: Column, p_small: Column, c_cache: Column, c_small: Column) -> Column:
-    return 1.0 - blended_cost(p_cache, p_small, c_cache, c_small)
+    """What is saved of a frontier call: all pay the lookup, and misses a mix of the small and the frontier model."""
+    return 1.0 - c_cache - (1.0 - p_cache) * (1.0 - p_small + p_small * c_small)
 
 
 def min_p_cache(s_target: Column, p_small: Column, c_cache: Column, c_small: Column) -> Column:
-    """struct(min_p_cache, feasible): least cache-hit rate with savings of s_target."""
-    headroom = 1.0 - s_target - c_cache
-    needed = 1.0 - headroom / miss_path_cost(p_small, c_small)
+    """struct(min_p_cache, feasible): least cache-hit rate with ``savings`` of s_target.
+
+    Savings grow by a straight line from those without a hit to 1 - c_cache at a hit rate of 1.
+    """
+    none, all_ = (savings(F.lit(p), p_small, c_cache, c_small) for p in (0.0, 1.0))
+    feasible = all_ > s_target
     return F.struct(
-        F.when(headroom <= 0, 1.0).when(needed < 0, 0.0).otherwise(needed).alias("min_p_cache"),
-        (headroom > 0).alias("feasible"),
+        F.when(~feasible, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (all_ - s_target) / (all_ - none))).alias("min_p_cache"),
+        feasible.alias("feasible"),
     )
 
 
+def derived_thresholds(spark: SparkSession, prices: Prices | None = None) -> dict:
+    """The least cache-hit rate as the threshold of studies' coverage and of their share of near prompts."""
+    x = prices or Prices()
+    solved = min_p_cache(*(F.lit(float(v)) for v in (x.s_target, x.p_small, x.c_cache, x.c_small)))
+    rate, feasible = spark.range(1).select(solved.alias("s")).select(F.round("s.min_p_cache", 4), "s.feasible").first()
+    note = f"least cache-hit rate at p_small {x.p_small}" if feasible else "savings stay below 1 - c_cache: no hit rate is enough"
+    return {"coverage": rate, "near_share": rate, "feasible": feasible, "note": note}
+
+
 def grid(spark: SparkSession, **axes) -> DataFrame:
     """Cross product of literal axes, in the axes' order."""
     arrays = [F.explode(F.array(*map(F.lit, v))).alias(k) for k, v in axes.items()]
@@ -46,8 +63,9 @@ def grid(spark: SparkSession, **axes) -> DataFrame:
     return df
 
 
-def sensitivity(spark: SparkSession) -> DataFrame:
-    solved = min_p_cache(F.lit(S_TARGET), F.col("p_small"), F.lit(C_CACHE), F.col("c_small"))
+def sensitivity(spark: SparkSession, prices: Prices | None = None) -> DataFrame:
+    x = prices or Prices()
+    solved = min_p_cache(F.lit(x.s_target), F.col("p_small"), F.lit(x.c_cache), F.col("c_small"))
     cells = grid(spark, **SENSITIVITY).withColumn("s", solved)
     return cells.select("c_small", "p_small", F.round("s.min_p_cache", 4).alias("min_p_cache"), "s.feasible")
 
@@ -99,3 +117,29 @@ def rubric_d(hp1: Column, hp2: Column, hp3: Column, hp4: Column) -> Column:
 def calibrate_s3(bands: DataFrame, t5: float) -> DataFrame:
     """Lower edge of the lowest band whose rate is at least t5; null if none."""
     return bands.agg(F.min(F.when(F.col("rate") >= t5, F.col("lo"))).alias("s3"))
+
+
+# What each outcome of a rubric asks for.
+ACTIONS = {
+    "A": {
+        "Abandon": "write up the negative result; a failed H5 is not scoped anew",
+        "Strong positive": "commit to the project and design its architecture",
+        "Weak positive": "cache within a conversation, not across users",
+        "Domain mismatch": "run again on a narrower slice",
+        "Marginal": "one attempt at the narrowest viable slice",
+        "Anomalous": "investigate, then decide again",
+    },
+    "C": {
+        "Abandon": "prediction across users does not hold, or no threshold serves good answers",
+        "Commit to prefetch project": "design the architecture around the best cell",
+        "Re-scope to within-session only": "prefetch for one user within a session",
+        "Re-scope to narrower domain": "try a narrower domain: no cell pays",
+    },
+    "D": {
+        "Abandon": "first prompts do not recur, or no threshold serves good answers",
+        "Commit to project": "build the personal prefetcher",
+        "Commit, power-user-only": "build it for users with a long history",
+        "Commit power-user-only": "build it for users with a long history, where it pays",
+        "Re-scope to KV-warm-only": "warm the model's cache rather than serve answers",
+    },
+}

@@ -34,7 +34,12 @@ CONTENT = (
 
 
 def _has(text: Column, pattern: str) -> Column:
-    return text.rlike(f"(?iu){pattern}")
+    return text.rlike(f"(?iU){pattern}")  # cases, words and white space as Unicode has them
+
+
+def stripped(text: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def head(text: Column) -> Column:
@@ -63,6 +68,7 @@ def normalise(text: Column) -> Column:
 
 
 def verdict(reply: Column) -> Column:
+    # Fixed value: the mark before a verdict.
     found = F.upper(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?i)VERDICT:\s*([A-Z]+)", 1))
     return F.when(found == "", "UNKNOWN").otherwise(found)
 
@@ -71,13 +77,14 @@ def verdict_score(v: Column) -> Column:
     return F.when(v == "ACCEPTABLE", 1.0).when(v == "BORDERLINE", 0.5).otherwise(0.0)
 
 
+# Fixed value: how a judge prompt names its two blocks.
 _BLOCK = r"(?s)PROMPT_B:\s*\n(.*?)\n\s*\nRESPONSE:\s*\n(.*)$"
 
 
 def prompt_parts(prompt: Column) -> Column:
     """struct(prompt_b, response_a) of a judge prompt; empty where it does not parse."""
     text = F.coalesce(prompt, F.lit(""))
-    part = lambda n: F.regexp_replace(F.regexp_extract(text, _BLOCK, n), r"(?U)^\s+|\s+$", "")
+    part = lambda n: stripped(F.regexp_extract(text, _BLOCK, n))
     return F.struct(part(1).alias("prompt_b"), part(2).alias("response_a"))
 
 

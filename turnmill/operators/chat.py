@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import md5_order, normalise
+from ..functions.text import md5_order, normalise, stripped
 
 
 def _spoken(turns: DataFrame) -> DataFrame:
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    text = stripped(F.coalesce("text", F.lit("")))
     return turns.select("conv_id", "turn", "role", text.alias("text")).where(
         (F.col("text") != "") & F.col("role").isin("user", "assistant")
     )
@@ -54,6 +54,37 @@ def turn_pairs(turns: DataFrame, with_reply: bool = False) -> DataFrame:
     return got if with_reply else got.drop("target_response")
 
 
+def first_answers(turns: DataFrame) -> DataFrame:
+    """(conv_id, prompt, response): the first answered prompt of each conversation."""
+    return qa_pairs(turns).where("k = 0").select("conv_id", "prompt", "response")
+
+
+def nested(turns: DataFrame, min_user_turns: int = 2) -> DataFrame:
+    """(conv_id, user_turns, asst_turns): answered prompts and their answers, oldest first."""
+    pairs = qa_pairs(turns, min_user_turns).groupBy("conv_id")
+    both = pairs.agg(F.sort_array(F.collect_list(F.struct("k", "prompt", "response"))).alias("p"))
+    return both.select(
+        "conv_id", F.transform("p", lambda x: x["prompt"]).alias("user_turns"), F.transform("p", lambda x: x["response"]).alias("asst_turns")
+    )
+
+
+def sampled_records(turns: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n first-turn records, the smallest ids by md5."""
+    return sample(first_turn_records(turns), "conv_id", n, seed)
+
+
+def sampled_turns(turns: DataFrame, n: int, seed: int = 42, min_user_turns: int = 2) -> DataFrame:
+    """Turns of n conversations with that many answered prompts; ids are drawn before any text is gathered."""
+    ids = qa_pairs(turns, min_user_turns).select("conv_id").distinct()
+    picked = sample(ids, "conv_id", n, seed).withColumnRenamed("conv_id", "_picked")
+    return turns.join(picked, F.col("conv_id") == F.col("_picked"), "left_semi")
+
+
+def sampled_conversations(turns: DataFrame, n: int, seed: int = 42, min_user_turns: int = 2) -> DataFrame:
+    """``nested`` conversations, n of them."""
+    return nested(sampled_turns(turns, n, seed, min_user_turns), min_user_turns)
+
+
 def exact_dedup(records: DataFrame, key: str, order: str) -> DataFrame:
     """The first record by ``order`` of each normalised ``key``; its SHA-256 is shuffled in its place."""
     firsts = Window.partitionBy("_key").orderBy(order)

@@ -41,6 +41,7 @@ def ask_again(ask: Callable[[str], str], prompt: str, wait: Callable[[float], No
 
 def substitution_prompt(prompt_b: Column, response_a: Column) -> Column:
     """Text that asks whether a reply serves another prompt; ``functions.text.prompt_parts`` reads it back."""
+    # The names of the two blocks and of the verdicts.
     cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, SHOWN)
     return F.concat(
         F.lit("Would this response serve the prompt below? End with VERDICT: and one of ACCEPTABLE, BORDERLINE, UNACCEPTABLE.\n\nPROMPT_B:\n"),

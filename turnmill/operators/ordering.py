@@ -7,6 +7,9 @@ partition: its offset.
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +17,14 @@ _PLACE_BITS = 33  # monotonically_increasing_id holds the partition above these
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the session's folder; only where none is set (tests), to one of this machine."""
+    """Checkpoints go to the session's folder; where none is set and Spark runs on this machine alone (tests), to one of it."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnmill-"))
+    if sc.getCheckpointDir():
+        return
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="turnmill-"))
 
 
 def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:

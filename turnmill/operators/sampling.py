@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import md5_order
-from .neighbours import dot, edges
+from .neighbours import dot, edges, present
 from .stats import banded, per_band
 
 
 def _draw(seed: int, n: int, *key) -> Column:
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *key)), 1, 12)
-    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n))
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(max(1, n)))
 
 
 def stratified_pairs(vectors: DataFrame, n_pairs: int, n_bins: int = 10, seed: int = 42, neighbours: int = 14) -> DataFrame:
@@ -21,6 +21,7 @@ def stratified_pairs(vectors: DataFrame, n_pairs: int, n_bins: int = 10, seed: i
     Candidates are six random draws a wanted pair, and each row's nearest
     neighbours for the bins that random pairs miss; a pair found twice counts twice.
     """
+    vectors = present(vectors)
     n = vectors.count()
     draws = vectors.sparkSession.range(n_pairs * 6).withColumnRenamed("id", "d")
     draws = draws.select(F.concat_ws(":", F.lit("draw"), "d").alias("key"), _draw(seed, n, "d", F.lit("i")).alias("i"), _draw(seed, n, "d", F.lit("j")).alias("j"))

@@ -76,6 +76,13 @@ def cluster_members(labels: DataFrame, cluster: str, order: str, top_k: int, per
     return rows.join(top, "cluster")
 
 
+def cluster_examples(labels: DataFrame, rows: DataFrame, cluster: str, order: str, text: str, top_k: int = 10, each: int = 5, shown: int = 300) -> DataFrame:
+    """(cluster, size, pos, examples): the largest clusters with the beginnings of their first texts."""
+    some = cluster_members(labels.select(order, cluster), cluster, order, top_k, each).join(rows.select(order, text), order)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("nth", F.substring(text, 1, shown).alias("t")))), lambda x: x["t"])
+    return some.groupBy("cluster", "size", "pos").agg(listed.alias("examples")).orderBy("pos")
+
+
 def banded(value: Column, bands) -> Column:
     """Name lo-hi of the first half-open band lo <= value < hi, or null."""
     out = None

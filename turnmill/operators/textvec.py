@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import DECIMALS
+
 MAX_FEATURES = 20_000
 DIMS = 64
 BLOCK_ROWS = 512
@@ -66,7 +68,7 @@ def _sparse_tile(k: int):
         i, j = (np.array([r["ord"] for r in p], dtype=np.int64) for p in (left, right))
         if not len(i) or not len(j):
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
-        cos = np.where(i[:, None] != j, dense(left) @ dense(right).T, -np.inf)
+        cos = np.where(i[:, None] != j, np.round(dense(left) @ dense(right).T, DECIMALS), -np.inf)
         keep = np.argsort(-cos, axis=1, kind="stable")[:, :k]
         rows_at, cols = np.repeat(np.arange(len(i)), keep.shape[1]), keep.reshape(-1)
         good = np.isfinite(cos[rows_at, cols])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import costs, text
 from ..operators import chat, density, neighbours, sampling, stats, textvec
 from ..operators.ordering import numbered
-from ..sources.tables import table
+from ..sources.tables import conversation_turns, in_language, table
+from . import audit, reports, studies
 
 KS, TS = (1, 5, 10, 50), (0.2, 0.3, 0.4)
 BUFFER = 69  # neighbours besides the row itself
@@ -75,6 +76,36 @@ def conversation_sample(spark, sf_dir):
     return chat.sample(pairs.groupBy("conv_id").agg(F.count("*").alias("n_pairs")), "conv_id", 20)
 
 
+@query(f"""WITH {_QA}, c AS (SELECT conv_id, array_agg(prompt ORDER BY k) AS u, array_agg(response ORDER BY k) AS a FROM qa GROUP BY 1 HAVING count(*) >= 2)
+SELECT conv_id, array_to_string(u, '|') AS user_turns, array_to_string(a, '|') AS asst_turns FROM c ORDER BY md5('42:' || conv_id), conv_id LIMIT 15""")
+def sampled_conversations(spark, sf_dir):
+    """A seeded sample of nested conversations, their turns joined for comparison."""
+    got = chat.sampled_conversations(table(spark, sf_dir, "conversations"), 15)
+    return got.select("conv_id", *(F.array_join(c, "|").alias(c) for c in ("user_turns", "asst_turns")))
+
+
+@query(f"""WITH raw AS (SELECT * FROM conversations WHERE conv_id % 3 = 0), {_SPOKEN.replace("FROM conversations", "FROM raw")},
+u AS (SELECT conv_id, min(turn) AS first_turn FROM spoken WHERE role = 'user' GROUP BY 1),
+a AS (SELECT conv_id, min(turn) AS reply FROM spoken JOIN u USING (conv_id) WHERE role = 'assistant' AND turn > first_turn GROUP BY 1)
+SELECT CASE WHEN u.conv_id % 2 = 0 THEN 'h' || u.conv_id ELSE md5(p.text) END AS conv_id, p.text AS prompt, r.text AS response FROM u JOIN a USING (conv_id)
+JOIN spoken p ON p.conv_id = u.conv_id AND p.turn = first_turn JOIN spoken r ON r.conv_id = u.conv_id AND r.turn = reply
+ORDER BY md5('42:' || CASE WHEN u.conv_id % 2 = 0 THEN 'h' || u.conv_id ELSE md5(p.text) END), 1 LIMIT 12""")
+def sampled_records(spark, sf_dir):
+    """A seeded sample of first-turn records of raw conversations: every third one is English, every other has an id."""
+    turns = table(spark, sf_dir, "conversations")
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    raw = turns.groupBy("conv_id").agg(said.alias("conversation")).select(
+        F.when(F.col("conv_id") % 3 == 0, "English").otherwise("Other").alias("language"), "conversation",
+        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("h"), "conv_id")).alias("conversation_hash"),
+    )
+    return chat.sampled_records(conversation_turns(raw), 12)
+
+
+@query(f"WITH {_QA} SELECT conv_id, prompt, response FROM qa WHERE k = 0")
+def first_answers(spark, sf_dir):
+    return chat.first_answers(table(spark, sf_dir, "conversations"))
+
+
 # -- documents -----------------------------------------------------------------
 _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
@@ -119,6 +150,33 @@ def content_rule_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.has_content(F.col("text")).alias("flag"))
 
 
+PROBE_CONTENT = "th[a-z]+ng|und|les"
+
+
+@query(rf"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i){PROBE_CONTENT}') AS flag FROM documents")
+def probe_content_flags(spark, sf_dir):
+    """The content flag with a pattern that does occur in the documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.has_content(F.col("text"), PROBE_CONTENT).alias("flag"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'en'")
+def english_documents(spark, sf_dir):
+    return in_language(table(spark, sf_dir, "documents"), "en", "lang").select("doc_id", "source")
+
+
+@query(rf"""WITH j AS (SELECT (['ACCEPTABLE', 'BORDERLINE', 'UNACCEPTABLE', 'UNKNOWN'])[CAST(doc_id % 4 AS INTEGER) + 1] AS judge_verdict,
+  CASE WHEN regexp_matches(coalesce(text, ''), '(?i){PROBE_CONTENT}') OR regexp_matches(source, '(?i){PROBE_CONTENT}') THEN 'UNACCEPTABLE' ELSE 'ACCEPTABLE' END AS rule_verdict FROM documents)
+SELECT judge_verdict, rule_verdict, count(*) AS n FROM j WHERE judge_verdict <> 'UNKNOWN' GROUP BY 1, 2""")
+def content_rule_confusion(spark, sf_dir):
+    """Made-up verdicts against those of the content rule, with a pattern that does occur."""
+    names = F.array(*map(F.lit, (*VALID, "UNKNOWN")))
+    rows = table(spark, sf_dir, "documents").select(
+        F.get(names, (F.col("doc_id") % 4).cast("int")).alias("judge_verdict"), F.col("text").alias("prompt_b"), F.col("source").alias("response_a")
+    )
+    labelled = audit.by_content(rows, PROBE_CONTENT).where(F.col("judge_verdict").isin(*VALID))
+    return labelled.groupBy("judge_verdict", "rule_verdict").agg(F.count("*").alias("n"))
+
+
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS raw,
   regexp_split_to_array(text, '\s+') AS cut FROM documents),
 e AS (SELECT doc_id, unnest(raw) AS word, unnest(range(len(raw))) AS i FROM w)
@@ -227,7 +285,7 @@ def best_cross_neighbour(spark, sf_dir):
 SELECT k, t, round(d.rate, 6) AS hit, round(r.rate, 6) AS random, round(d.rate - r.rate, 6) AS lift
 FROM d JOIN r USING (k, t) ORDER BY d.rate - r.rate DESC, k, t LIMIT 1""")
 def best_lift(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).cache()
+    pairs = studies.fixed(_pairs(spark, sf_dir))
     hit = neighbours.hit_table(_dense(pairs), pairs, KS, TS).withColumnRenamed("rate", "hit")
     rnd = neighbours.hit_table(_random(pairs), pairs, KS, TS).withColumnRenamed("rate", "random")
     met = hit.join(rnd, ["k", "t"], "left").na.fill(0.0, ["random"]).withColumn("lift", F.col("hit") - F.col("random"))
@@ -271,9 +329,14 @@ def match_distribution(spark, sf_dir):
     return got.select("n", *(F.round(x, 6).alias(x) for x in got.columns if x != "n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE near AS MATERIALIZED (SELECT b.vec_id AS j, list(a.vec_id) AS l FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+  WHERE round({_dot('a.embedding', 'b.embedding')}, 12) >= 0.3 GROUP BY 1),
+v AS MATERIALIZED (SELECT vec_id, coalesce(l, []) AS l, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings LEFT JOIN near ON j = vec_id),
+walk(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT v.n, CASE WHEN list_has_any(kept, l) THEN kept ELSE list_append(kept, vec_id) END FROM walk JOIN v ON v.n = walk.n + 1)
+SELECT unnest(kept) AS ord FROM walk WHERE n = (SELECT max(n) FROM v)""")
 def near_dedup_embeddings(spark, sf_dir):
-    """Kept rows of the ordered greedy walk at cosine 0.3; tests compare with the walk itself."""
+    """Kept rows of the ordered greedy walk at cosine 0.3."""
     return neighbours.greedy_dedup(_vectors(spark, sf_dir), 0.3)
 
 
@@ -284,6 +347,45 @@ def banded_sample(spark, sf_dir):
     return stats.per_band(m, "band", F.struct(text.md5_order(42, F.col("i")), F.col("i")), 10).select("i", "band")
 
 
+SERVE = ((0.15, 0.25), (0.25, 0.30), (0.30, 1.01))
+_SERVE = f"CASE {' '.join(f"WHEN cos >= {lo} AND cos < {hi} THEN '{lo:.2f}-{hi:.2f}'" for lo, hi in SERVE)} END"
+
+
+@query(f"""WITH {_LP}, {_DENSE}, {_CROSS}, c AS (SELECT i, arg_max(j, (cos, -rank)) AS j, max(cos) AS cos FROM cand WHERE rank <= 25 GROUP BY 1),
+b AS (SELECT i, j, {_SERVE} AS band FROM c)
+SELECT i, j, band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('42:' || i), i) AS n FROM b WHERE band IS NOT NULL) WHERE n <= 7""")
+def serve_sample(spark, sf_dir):
+    """Best neighbours in other conversations by serve band, as study C judges them, with bands scaled to these vectors."""
+    pairs = _pairs(spark, sf_dir)
+    found = neighbours.best_cross_neighbour(_dense(pairs), pairs).where("j <> -1")
+    return studies.serve_sample(found, SERVE, 7, 42).select("i", "j", "band")
+
+
+@query(f"""WITH {_PRIOR} SELECT round(cos, 6) AS cos, i, j, 'prompt ' || i AS prompt, 'prompt ' || j AS prior FROM pm WHERE j <> -1 AND cos >= 0.25
+ORDER BY pm.cos DESC, i LIMIT 20""")
+def recurring_pairs(spark, sf_dir):
+    """The twenty nearest prior matches with their prompts."""
+    rows = _vectors(spark, sf_dir).select("ord", F.concat(F.lit("prompt "), "ord").alias("prompt"))
+    matches = neighbours.prior_matches(_vectors(spark, sf_dir)).where("j <> -1")
+    return studies.recurring_pairs(matches, rows, 0.25).withColumn("cos", F.round("cos", 6))
+
+
+@query(f"""WITH {_PRIOR}, g AS (SELECT unnest([0.7, 0.8, 0.9, 0.95])::DOUBLE AS t_pred), h AS (SELECT unnest([0.1, 0.2, 0.3, 0.4])::DOUBLE AS t)
+SELECT 1 AS k, t, round(avg((cos >= t)::INT), 9) AS hit_rate FROM pm, h WHERE j <> -1 GROUP BY t""")
+def one_guess_hits(spark, sf_dir):
+    """Hit rates of one guess, as study D has them, at thresholds scaled to these vectors."""
+    m = neighbours.prior_matches(_vectors(spark, sf_dir)).where("j <> -1")
+    got = studies.one_guess_hits(spark, m, (0.1, 0.2, 0.3, 0.4))
+    return got.select("k", F.col("t_pred").alias("t"), F.round("hit_rate", 9).alias("hit_rate"))
+
+
+@query(f"""WITH {_EDGES}, m AS (SELECT max(round(cos, 12)) AS c FROM e GROUP BY i), b AS (SELECT least(49, greatest(0, CAST(floor(c * 50) AS INTEGER))) AS bin FROM m)
+SELECT CAST(r.bin AS INTEGER) AS bin, round(r.bin / 50.0, 6) AS lo, count(b.bin) AS n FROM range(50) r(bin) LEFT JOIN b ON b.bin = r.bin GROUP BY r.bin""")
+def nn_histogram(spark, sf_dir):
+    near = neighbours.edges(_vectors(spark, sf_dir), k=1)
+    return reports.histogram(near, "cos").withColumn("lo", F.round("lo", 6))
+
+
 # -- clusters (labels as clusters) -----------------------------------------------
 _CL = "c AS (SELECT vec_id, CASE WHEN label = 0 THEN -1 ELSE label END AS cl FROM embeddings)"
 _SIZES = """s AS (SELECT cl, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, min(vec_id)) AS pos FROM c WHERE cl <> -1 GROUP BY 1)"""
@@ -312,6 +414,17 @@ def cluster_members(spark, sf_dir):
     return stats.cluster_members(_labels(spark, sf_dir), "cl", "vec_id", 5, 8).select("cluster", "vec_id", "size", "pos")
 
 
+@query(f"""WITH {_CL}, {_SIZES}, m AS (SELECT *, row_number() OVER (PARTITION BY cl ORDER BY vec_id) AS nth FROM c)
+SELECT CAST(cl AS INTEGER) AS cluster, any_value(size) AS size, CAST(any_value(pos) AS INTEGER) AS pos, string_agg(substr(repeat('text ' || vec_id || ' ', 60), 1, 300), '|' ORDER BY nth) AS examples
+FROM m JOIN s USING (cl) WHERE nth <= 5 AND pos <= 10 GROUP BY cl""")
+def cluster_examples(spark, sf_dir):
+    """The largest clusters with the first 300 characters of their first five texts."""
+    labels = _labels(spark, sf_dir)
+    rows = labels.select("vec_id", F.repeat(F.concat(F.lit("text "), "vec_id", F.lit(" ")), 60).alias("t"))
+    got = stats.cluster_examples(labels, rows, "cl", "vec_id", "t")
+    return got.select("cluster", "size", "pos", F.array_join("examples", "|").alias("examples"))
+
+
 # -- costs, rubrics ----------------------------------------------------------------
 def _values(name, values):
     return f"(SELECT unnest([{', '.join(map(str, values))}])::DOUBLE AS {name})"
@@ -325,6 +438,16 @@ def cost_sensitivity(spark, sf_dir):
     return costs.sensitivity(spark)
 
 
+@query(f"""SELECT c_small, c_cache, s_target, round(CASE WHEN 1 - s_target - c_cache <= 0 THEN 1.0
+  ELSE greatest(0, 1 - (1 - s_target - c_cache) / ({costs.P_SMALL}::DOUBLE * c_small + (1 - {costs.P_SMALL}::DOUBLE))) END, 4) AS threshold
+FROM {_values('c_small', (0.05, 0.2, 0.4))}, {_values('c_cache', (0.002, 0.1))}, {_values('s_target', (0.3, 0.5, 0.95))}""")
+def derived_thresholds(spark, sf_dir):
+    """The thresholds that prices decide, over a grid of prices."""
+    cells = costs.grid(spark, c_small=(0.05, 0.2, 0.4), c_cache=(0.002, 0.1), s_target=(0.3, 0.5, 0.95))
+    solved = costs.min_p_cache(F.col("s_target"), F.lit(costs.P_SMALL), F.col("c_cache"), F.col("c_small"))
+    return cells.select("c_small", "c_cache", "s_target", F.round(solved["min_p_cache"], 4).alias("threshold"))
+
+
 _PARETO = f"""hq AS (SELECT k, t_pred, t_serve, c_speculate, CASE WHEN k IN (1, 5, 10) AND t_pred < 0.95 THEN 1.0 / (k * t_pred + 0.5) ELSE 0.0 END AS hit_rate,
   t_serve AS quality FROM {_values('k', costs.K_GRID)}, {_values('t_pred', costs.T_PRED)}, {_values('t_serve', costs.T_SERVE)}, {_values('c_speculate', costs.C_SPECULATE)}),
 cells AS (SELECT CAST(k AS INTEGER) AS k, t_pred, t_serve, c_speculate, hit_rate, quality, hit_rate * quality AS effective,
@@ -447,21 +570,34 @@ def tfidf_weights(spark, sf_dir):
     return textvec.tfidf(rows).select("ord", "term", F.round("w", 6).alias("w"))
 
 
-@query()
+_SIDES = rf"""tp2 AS (SELECT row_number() OVER (ORDER BY conv_id, turn_idx) - 1 AS ord, conv_id AS conv, anchor, target FROM tp WHERE target IS NOT NULL),
+tok AS (SELECT 'a' AS side, ord, unnest(regexp_extract_all(lower(anchor), '[\p{{L}}\p{{N}}_]{{2,}}')) AS t FROM tp2 UNION ALL
+  SELECT 't', ord, unnest(regexp_extract_all(lower(target), '[\p{{L}}\p{{N}}_]{{2,}}')) FROM tp2),
+cnt AS (SELECT side, ord, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {textvec.DIMS} AS b, count(*)::DOUBLE AS c FROM tok GROUP BY 1, 2, 3),
+vec AS (SELECT side, ord, b, c / sqrt(sum(c * c) OVER (PARTITION BY side, ord)) AS x FROM cnt),
+wn AS (SELECT ord, term, w / sqrt(sum(w * w) OVER (PARTITION BY ord)) AS x FROM wt),
+every AS (SELECT a.ord AS i, b.ord AS j FROM tp2 a JOIN tp2 b ON a.ord <> b.ord),
+dc AS (SELECT a.ord AS i, b.ord AS j, sum(a.x * b.x) AS s FROM vec a JOIN vec b ON a.b = b.b AND a.side = 'a' AND b.side = 'a' GROUP BY 1, 2),
+fc AS (SELECT a.ord AS i, b.ord AS j, sum(a.x * b.x) AS s FROM wn a JOIN wn b ON a.term = b.term GROUP BY 1, 2),
+gc AS (SELECT a.ord AS i, b.ord AS j, sum(a.x * b.x) AS s FROM vec a JOIN vec b ON a.b = b.b AND a.side = 't' AND b.side = 't' GROUP BY 1, 2),
+near AS (SELECT 'hashed' AS retriever, i, j, round(coalesce(s, 0), 12) AS cos FROM every LEFT JOIN dc USING (i, j) UNION ALL
+  SELECT 'tfidf', i, j, round(coalesce(s, 0), 12) FROM every LEFT JOIN fc USING (i, j)),
+raw AS (SELECT retriever, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY retriever, i ORDER BY cos DESC, j) AS rank FROM near) WHERE rank <= {BUFFER} UNION ALL
+  SELECT 'random', ord, CAST(CAST('0x' || substr(md5('42:' || ord || ':' || r), 1, 12) AS BIGINT) % (SELECT count(*) FROM tp2) AS BIGINT), r FROM tp2, range(1, {BUFFER + 2}) t(r)),
+cand AS (SELECT retriever, raw.i, round(coalesce(gc.s, 0), 12) AS cos, row_number() OVER (PARTITION BY retriever, raw.i ORDER BY raw.rank) AS rank
+  FROM raw JOIN tp2 a ON a.ord = raw.i JOIN tp2 b ON b.ord = raw.j LEFT JOIN gc ON gc.i = raw.i AND gc.j = raw.j WHERE a.conv <> b.conv AND raw.i <> raw.j),
+g AS (SELECT unnest([{', '.join(map(str, KS))}]) AS k), h AS (SELECT unnest([0.7, 0.8, 0.9])::DOUBLE AS t), r AS (SELECT unnest(['hashed', 'tfidf', 'random']) AS retriever),
+best AS (SELECT retriever, i, k, max(cos) AS m FROM cand JOIN g ON rank <= k GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_QA}, {_TERMS}, {_SIDES} SELECT r.retriever, CAST(g.k AS INTEGER) AS k, h.t, round(count(m) / (SELECT count(*) FROM tp2)::DOUBLE, 9) AS rate
+FROM r CROSS JOIN g CROSS JOIN h LEFT JOIN best ON best.retriever = r.retriever AND best.k = g.k AND m >= h.t GROUP BY 1, 2, 3""")
 def study_b_hit_tables(spark, sf_dir):
     """Hit rates of turn pairs for the hashed, TF-IDF and random retrievers, 12 rows each."""
-    base = _numbered(spark, sf_dir).cache()
-    anchors, targets = (base.select("ord", F.col(c).alias("text")) for c in ("anchor", "target"))
-    dense, goal = textvec.hashed_vectors(anchors), textvec.hashed_vectors(targets)
-    pairs = base.select("ord", F.col("conv_id").alias("conv")).join(goal.withColumnRenamed("v", "target"), "ord").cache()
-    arms = {
-        "hashed": neighbours.edges(dense, k=BUFFER),
-        "tfidf": textvec.sparse_edges(textvec.tfidf(anchors), anchors, BUFFER),
-        "random": neighbours.random_edges(anchors, BUFFER + 1),
-    }
+    got = studies.retrieval(table(spark, sf_dir, "conversations"), textvec.hashed_vectors, studies.Grids(), 42)
     out = None
-    for name, edge in arms.items():
-        hits = neighbours.hit_table(edge, pairs, KS, (0.7, 0.8, 0.9)).select(F.lit(name).alias("retriever"), "k", "t", "rate")
+    for name, arm in (("hashed", "dense"), ("tfidf", "tfidf"), ("random", "random")):
+        hits = got.tables[arm].select(F.lit(name).alias("retriever"), "k", "t", F.round("rate", 9).alias("rate"))
         out = hits if out is None else out.unionByName(hits)
     return out
 

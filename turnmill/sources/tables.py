@@ -8,6 +8,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+
 EXPORT_SCHEMA = (
     "uuid string, name string, created_at string, chat_messages array<struct<sender string, text string, "
     "content array<struct<text string>>>>"
@@ -21,9 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def message_text(text: Column, content: Column) -> Column:
     """A message's own text, or its content parts joined by line ends where that is blank."""
-    parts = F.transform(content, lambda p: F.trim(p["text"]))
-    parts = F.filter(parts, lambda p: p.isNotNull() & (p != ""))
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.array_join(parts, "\n"), F.lit(""))
+    parts = F.filter(F.transform(content, lambda p: stripped(p["text"])), lambda p: p.isNotNull() & (p != ""))
+    return F.coalesce(F.nullif(stripped(text), F.lit("")), F.array_join(parts, "\n"), F.lit(""))
+
+
+def in_language(rows: DataFrame, language: str = "English", column: str = "language") -> DataFrame:
+    """Rows of one language; a plain comparison, which reaches the scan."""
+    return rows.where(F.col(column) == language)
+
+
+def conversation_turns(raw: DataFrame, language: str | None = "English") -> DataFrame:
+    """(conv_id, turn, role, text) of raw conversations (language, conversation array<struct<role, content>>, ids).
+
+    The id is conversation_hash, else conversation_id, else the md5 of the first user turn.
+    """
+    raw = raw if language is None else in_language(raw, language)
+    said = F.filter("conversation", lambda t: (t["role"] == "user") & (stripped(F.coalesce(t["content"], F.lit(""))) != ""))
+    ids = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("conversation_hash", "conversation_id") if c in raw.columns]
+    own = F.coalesce(*ids, F.md5(stripped(F.get(said, F.lit(0))["content"])))
+    return raw.select(own.alias("conv_id"), F.posexplode("conversation").alias("turn", "t")).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.content").alias("text")
+    )
+
+
+def cached(spark: SparkSession, path: str | None, make) -> DataFrame:
+    """What ``make()`` gives, from Parquet at ``path`` where an earlier call wrote it whole."""
+    if path is None:
+        return make()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def sample_path(folder: str, kind: str, n: int, seed: int) -> str:
+    """Where a sample is cached; the seed is part of its name."""
+    return f"{folder.rstrip('/')}/{kind}_n{n}_seed{seed}.parquet"
 
 
 def read_export_zip(spark: SparkSession, path: str, member: str = "conversations.json") -> DataFrame:
