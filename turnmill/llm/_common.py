@@ -65,7 +65,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-def with_batches(frames, names: list[str]):
-    """Rows of pandas frames as tuples of plain values, one list per frame."""
-    for frame in frames:
-        yield frame, [frame[n].tolist() for n in names]
+#: Rows of a batch that a Python worker turns into objects at once.
+SLICE_ROWS = 1024
+
+
+def slices(batches, rows: int = SLICE_ROWS):
+    """Arrow batches cut into shorter ones, so that a worker holds the texts of few rows as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

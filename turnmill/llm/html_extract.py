@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table
+from ._common import materialise, read_table, slices
 
 # Fixed values of HTML: elements without an end tag, and elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -425,7 +425,7 @@ def host_of(url: Column) -> Column:
 
 
 def _parse(batches):
-    for batch in batches:
+    for batch in slices(batches):
         pages = [Page(h) for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -462,7 +462,7 @@ def vote_counts(votes: DataFrame) -> DataFrame:
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in slices(batches):
         columns = ("blocks", "at", "steps", "ups", "own", "path")
         rows = [chosen_text(*r) for r in zip(*(batch.column(c).to_pylist() for c in columns))]
         yield pa.RecordBatch.from_arrays(

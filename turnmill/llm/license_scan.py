@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import read_table
+from ._common import read_table, slices
 
 # The base phrases and their labels.
 BASE_PHRASES = {
@@ -218,7 +218,7 @@ def scan_text(text: str | None) -> tuple:
 def _scan(batches):
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, SCHEMA.split(", "))])
-    for batch in batches:
+    for batch in slices(batches):
         rows = [scan_text(t) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows)) if rows else [()] * (len(schema) - 1)
         yield pa.RecordBatch.from_arrays(

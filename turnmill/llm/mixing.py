@@ -98,7 +98,7 @@ def weighed(base: DataFrame) -> DataFrame:
     n = F.col("offset") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
     placed = fixed.join(sums, F.shiftright("id", 33) == F.col("part")).withColumn("n", n.cast("long"))
     weight = F.get(F.array(*map(F.lit, WEIGHTS)), (F.col("n") % len(WEIGHTS)).cast("int"))
-    return materialise(placed.select("source", "source_size", "n_rows", "n", weight.alias("weight")), "mix-sources")
+    return placed.select("source", "source_size", "n_rows", "n", weight.alias("weight"))
 
 
 def targets(base: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = materialise(slim_rows(docs), "mix-rows")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = targets(base).withColumn("passes", passes)
-    goal = materialise(goal.withColumn("n_blocks", F.greatest(F.ceil(F.col("n_rows") / BLOCK_ROWS), F.lit(1)).cast("long")), "mix-targets")
+    goal = goal.withColumn("n_blocks", F.greatest(F.ceil(F.col("n_rows") / BLOCK_ROWS), F.lit(1)).cast("long"))
     rows = with_block(chunks(base), goal)
 
     blocks = rows.where("block is not null").groupBy("source", "block").agg(F.sum(F.col("size") * F.col("m")).alias("words"))
@@ -203,7 +203,8 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_units") - 1)).alias("pass"),
     )
     units = units.withColumn("place", F.col("pass") * F.col("all_blocks") + F.col("rank"))
-    units = materialise(units.select("source", "block", "n", "place", "words", ((F.col("pass") == F.col("passes")) & (F.col("last") == 1)).alias("partial")), "mix-units")
+    partial = (F.col("pass") == F.col("passes")) & (F.col("last") == 1)
+    units = units.select("source", "block", "n", "place", "words", partial.alias("partial"))
     takings = split(units).groupBy("source", "block").agg(
         F.sort_array(F.collect_list(F.when(~F.col("partial"), F.col("shard")))).alias("whole"),
         F.max(F.when(F.col("partial"), F.col("shard"))).alias("part"),

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table
+from ._common import materialise, read_table, slices
 
 GRADES = 3
 MAX_LABELLED = 12_000
@@ -128,7 +128,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.
 
 def _forms_of(batches):
     """(form, half, rows, toxic): in how many rows of the batch, and toxic ones, each form stands."""
-    for batch in batches:
+    for batch in slices(batches):
         count: Counter = Counter()
         ill: Counter = Counter()
         for half, y, text in zip(*(batch.column(c).to_pylist() for c in ("half", "y", "text"))):
@@ -188,7 +188,7 @@ def grades(toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 def _training_features(vocabulary: dict[bytes, int], marks: list[set[bytes]]):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, halves = batch.column("text").to_pylist(), batch.column("half").to_pylist()
             found = [sparse_features(t, vocabulary) for t in texts]
             share = [spread(t, marks[1 - h]) if y else 0.0 for t, h, y in zip(texts, halves, batch.column("y").to_pylist())]
@@ -246,7 +246,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             p = np.array([severities(model, t) for t in batch.column("text").to_pylist()]).reshape(-1, GRADES)
             columns = [batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(p[:, 0] >= 0.5)]
             columns += [pa.array(np.ascontiguousarray(p[:, k])) for k in range(GRADES)]

@@ -33,7 +33,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table
+from ._common import materialise, read_table, slices
 
 LENGTH = 2048
 GROUP_ROWS = 1024
@@ -175,7 +175,7 @@ def _tokenise(ranks_path: str, capacity: int):
         encode = encoder(ranks_path)
         end = np.array([END_ID], dtype="<u2").tobytes()
         step = 2 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             tokens, whole, tails = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = encode(text or "") + end

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table
+from ._common import materialise, read_table, slices
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -108,7 +108,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = _array(featured(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], names=["doc_id", "x"])
 
@@ -280,7 +280,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = score_features(model, featured(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
@@ -298,7 +298,7 @@ def keep_predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             text = batch.column(names.index("text"))
             good = pa.array(score_features(model, featured(text.to_pylist())) >= THRESHOLD)
             yield batch.filter(good)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, read_table
+from ._common import discard, materialise, read_table, slices
 
 SHINGLE = 3
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         fp = [fingerprint(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("th"), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))],
@@ -235,7 +235,7 @@ def _part_key(pair: Column, fp: Column) -> Column:
 
 
 def _large(keyed: DataFrame, names: list[str]) -> DataFrame:
-    """Keys of more than BLOCK rows, with their count; written, so that Spark may split a hot key's rows in joins."""
+    """Keys of more than BLOCK rows, with their count; written, as rows are made anew for each use otherwise."""
     counts = keyed.groupBy(*names).count().where(F.col("count") > BLOCK)
     return materialise(counts.select(*(F.col(n).alias(f"l_{n}") for n in names), "count"), "large-keys")
 
@@ -372,11 +372,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.max(kept.cast("int")).alias("_turnmill_kept"), F.count("*").alias("_turnmill_n")
     )
     marks = materialise(marks.where("_turnmill_kept = 0 or _turnmill_n > 1"), "dropped")
-    some = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    n_marks, n_often = marks.agg(F.count("*"), F.count_if(F.col("_turnmill_kept") == 1)).first()
+    some = F.broadcast(marks) if n_marks <= BROADCAST_ROWS else marks
     rows = docs.withColumn("_turnmill_text", F.xxhash64(docs["text"].cast("string")))
     same = rows["doc_id"].cast("long").eqNullSafe(F.col("_turnmill_id")) & (F.col("_turnmill_text") == F.col("_turnmill_th"))
     rows = rows.join(some, same, "left").where("_turnmill_kept is null or _turnmill_kept = 1")
     once = rows.where("_turnmill_n is null").select(*(F.col(f"`{c}`") for c in docs.columns))
+    if not n_often:
+        return once
     often = rows.where("_turnmill_n is not null").select(
         "_turnmill_id", "_turnmill_th", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_turnmill_row")
     )
