@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table, words_of
+from ._common import discard, materialise, read_table, words_of
 
 # Fixed values of the contract.
 WEIGHTS = (3, 1, 2)
@@ -212,7 +212,9 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     takings = takings.join(cuts, _same("source", "cs") & (F.col("block") == F.col("cb")), "left").select(
         F.col("source").alias("s"), F.col("block").alias("b"), "whole", "part", "cut", "most"
     )
-    return rows, goal, materialise(takings, "mix-takings")
+    takings = materialise(takings, "mix-takings")
+    discard(blocks)
+    return rows, goal, takings
 
 
 def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
@@ -269,9 +271,13 @@ def tree(quotas: DataFrame, shards: int) -> DataFrame:
         F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), F.transform("x", lambda s: s["n"]).alias("names"),
         F.transform("x", lambda s: s["units"]).alias("q"), F.transform("x", lambda s: F.lit(0).cast("long")).alias("first"),
     )
+    written = None
     for level in range((shards - 1).bit_length()):
         if level and level % _LEVELS == 0:
-            node = materialise(node.repartition("lo"), "mix-tree")
+            written, old = materialise(node.repartition("lo"), "mix-tree"), written
+            node = written
+            if old is not None:
+                discard(old)
         n = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
         mid = F.floor((F.col("lo") + F.col("hi")) / 2)
         node = node.withColumn("n", n).withColumn("mid", mid)
@@ -328,6 +334,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     packed = docs.where(has_word).select(row, docs["source"].cast("string").alias("source"), row_hash(docs).alias("h"))
     repeated = materialise(slim.where("copies > 1 and size > 0").select(F.col("h").alias("rh")).distinct(), "mix-repeated")
     n_repeated = repeated.count()
+    if not n_repeated:
+        discard(repeated)
     known = F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated
     single = packed.join(known, F.col("h") == F.col("rh"), "left_anti") if n_repeated else packed
     single = single.select("*", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("m"), F.lit(1).alias("size"))

@@ -33,7 +33,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table, slices
+from ._common import discard, materialise, read_table, slices
 
 LENGTH = 2048
 GROUP_ROWS = 1024
@@ -240,6 +240,7 @@ def pack(docs: DataFrame, capacity: int = LENGTH, group_rows: int = GROUP_ROWS,
         return rows.mapInArrow(_tokenise(ranks_path, capacity), kinds)
 
     if not n_often:
+        discard(often)
         ids = tokenised(slim.select(group(), "doc_id", "text"))
     else:
         known = F.broadcast(often) if n_often <= BROADCAST_ROWS else often

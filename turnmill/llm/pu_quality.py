@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, read_table, slices
+from ._common import discard, materialise, read_table, slices
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -237,7 +237,10 @@ def estimate_prior(rows: DataFrame, model: dict, positive: np.ndarray, unlabelle
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict:
-    return train_features(feature_rows(docs), labels, max_positive, max_unlabelled)
+    rows = feature_rows(docs)
+    model = train_features(rows, labels, max_positive, max_unlabelled)
+    discard(rows)
+    return model
 
 
 def train_features(rows: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict:

@@ -335,12 +335,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "hung",
     )
+    discard(distinct)
     smallest = materialise(
         hung.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r"), "smallest"
     )
     named = materialise(
         hung.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id"), "named"
     )
+    discard(hung)
+    discard(smallest)
     return rows.join(named, F.col("fp") == F.col("f")).select("doc_id", "th", "fp", "root", "component_id")
 
 
