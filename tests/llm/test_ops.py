@@ -246,6 +246,37 @@ def test_hot_band_keys_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_slim_tables_are_written_in_few_files(spark, monkeypatch, tmp_path):
+    """A shuffle of many partitions does not make as many files of each table: each file costs an executor forks."""
+    files, plain = {}, simhash_dedup.materialise
+
+    def noted(df, label, *args, **kwargs):
+        out = plain(df, label, *args, **kwargs)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "materialise", noted)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[(i // 2 * k) % 59] + str(i // 2) for k in range(40)) + " tail" * (i % 2)) for i in range(600)]
+    monkeypatch.setattr(simhash_dedup, "read_table", lambda *_: spark.createDataFrame(rows, "doc_id long, text string"))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        simhash_dedup.op3_simhash_near_dedup(spark, "").write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    result = spark.read.parquet(f"{tmp_path}/out")
+    files["result"] = len(result.inputFiles())
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert result.count() == 600 and {"distinct", "edges", "least", "low", "named"} <= set(files) and max(files.values()) <= most
+    fps = {f: slow_fingerprint(t) for f, t in rows}
+    roots = slow_components(set(fps.values()))
+    assert result.select("component_id").distinct().count() == len({roots[x] for x in fps.values()})
+
+
 # -- op4
 def test_shard_store(spark, tmp_path, odd, none):
     root = f"file://{tmp_path}/store"

@@ -37,13 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+#: Slim rows of a part, where a table has more of them than two parts a core.
+PART_ROWS = 250_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Parts for a written table of ``rows`` slim rows: two a core, more only beyond PART_ROWS rows each.
+
+    On a local file system each file costs an executor three forks (``chmod``), and a small table comes out of a
+    shuffle in as many files as that has partitions.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+
+
+def materialise(df: DataFrame, label: str, codec: str | None = None, parts: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in at most ``parts`` files if given, and read it back.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, and what
     comes after never repeats the work before.
     """
     spark = df.sparkSession
+    df = df.coalesce(parts) if parts else df
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path, compression=codec)
     back = spark.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, read_table, slices
+from ._common import discard, materialise, parts_for, read_table, slices
 
 SHINGLE = 3
 SEED = 42
@@ -281,14 +281,14 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_compare, "u long, v long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each vertex of (u, v) that is not its component's root.
+def components(edges: DataFrame, max_rounds: int = 60, parts: int | None = None) -> DataFrame:
+    """(node, root) for each vertex of (u, v) that is not its component's root; the edges first written in ``parts``.
 
     Alternating large-star and small-star (Kiveris et al. 2014): each round
     hangs vertices on smaller ones until every component is one star.
     """
     now = materialise(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", parts=parts
     )
 
     def mark(df):
@@ -298,19 +298,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        parts = parts_for(edges.sparkSession, 2 * before[0])
         both = now.union(now.select("v", "u"))
         # Written tables on both sides of a join let Spark split a hub's rows.
         least = materialise(
             both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")),
-            "least",
+            "least", parts=parts,
         )
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct(), "large")
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "low")
+        large = materialise(large.where("u <> v").distinct(), "large", parts=parts)
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "low", parts=parts)
         small = large.join(low, F.col("u") == F.col("w"))
         step = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("w", "m"))
         after = materialise(
-            step.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
+            step.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", parts=parts
         )
         seen = mark(after)
         for old in (now, least, large, low):
@@ -327,29 +328,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, th, fp, root, component_id) for each row of ``docs``."""
     rows = materialise(with_fingerprints(docs), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    stars = components(link_fingerprints(distinct.select("fp")))
+    parts = parts_for(docs.sparkSession, rows.count())
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct", parts=parts)
+    stars = components(link_fingerprints(distinct.select("fp")), parts=parts)
     hung = materialise(
         distinct.join(stars, F.col("fp") == F.col("node"), "left").select(
             "fp", "low", F.coalesce("root", "fp").alias("root")
         ),
-        "hung",
+        "hung", parts=parts,
     )
     discard(distinct)
     smallest = materialise(
-        hung.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r"), "smallest"
+        hung.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r"), "smallest", parts=parts
     )
     named = materialise(
-        hung.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id"), "named"
+        hung.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id"), "named", parts=parts
     )
     discard(hung)
     discard(smallest)
-    return rows.join(named, F.col("fp") == F.col("f")).select("doc_id", "th", "fp", "root", "component_id")
+    found = rows.join(named, F.col("fp") == F.col("f")).select("doc_id", "th", "fp", "root", "component_id")
+    found._turnmill_parts = parts
+    return found
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    slim = found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return slim.coalesce(found._turnmill_parts)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -368,13 +373,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     ranked = F.struct((~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"), "th")
     groups = found.groupBy("root").agg(F.min(ranked)["th"].alias("kept_th"), F.min("component_id").alias("kept_id"))
     # Joins of the written slim rows: Spark splits the rows of a hot group.
-    groups = materialise(groups.select(F.col("root").alias("kept_root"), "kept_th", "kept_id"), "groups")
+    groups = materialise(groups.select(F.col("root").alias("kept_root"), "kept_th", "kept_id"), "groups", parts=found._turnmill_parts)
     met = found.select("root", "doc_id", "th").join(groups, F.col("root") == F.col("kept_root"))
     kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("th").eqNullSafe(F.col("kept_th"))
     marks = met.groupBy(F.col("doc_id").alias("_turnmill_id"), F.col("th").alias("_turnmill_th")).agg(
         F.max(kept.cast("int")).alias("_turnmill_kept"), F.count("*").alias("_turnmill_n")
     )
-    marks = materialise(marks.where("_turnmill_kept = 0 or _turnmill_n > 1"), "dropped")
+    marks = materialise(marks.where("_turnmill_kept = 0 or _turnmill_n > 1"), "dropped", parts=found._turnmill_parts)
     n_marks, n_often = marks.agg(F.count("*"), F.count_if(F.col("_turnmill_kept") == 1)).first()
     some = F.broadcast(marks) if n_marks <= BROADCAST_ROWS else marks
     rows = docs.withColumn("_turnmill_text", F.xxhash64(docs["text"].cast("string")))
