@@ -430,6 +430,22 @@ def test_tournament_is_first_fit():
         assert tree.place(n) == want
 
 
+def test_pieces_are_written_in_few_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i} of many") for i in range(400)], "doc_id long, text string")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        packing.pack(df, group_rows=4).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.select("doc_id").distinct().count() == 400
+    assert len(out.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_pack_lengths_loses_nothing():
     rng = np.random.default_rng(2)
     for _ in range(400):

@@ -33,7 +33,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, read_table, slices
+from ._common import discard, materialise, parts_for, read_table, slices
 
 LENGTH = 2048
 GROUP_ROWS = 1024
@@ -253,7 +253,9 @@ def pack(docs: DataFrame, capacity: int = LENGTH, group_rows: int = GROUP_ROWS,
         every = F.sequence(F.col("span") * _SPAN, F.least(F.col("copies"), (F.col("span") + 1) * _SPAN) - 1)
         copies = spans.repartition("doc_id", "th", "span").select("*", F.explode(every).alias("copy"))
         ids = ids.unionByName(copies.select(group("copy"), "doc_id", "tokens", "whole", "tail"))
-    return ids.groupBy("g").applyInArrow(_pack_group(capacity, min_gap), SCHEMA)
+    packed = ids.groupBy("g").applyInArrow(_pack_group(capacity, min_gap), SCHEMA)
+    # Pieces take a small part of the bytes of the tails they come from: dealt anew, they are written in few files.
+    return packed.repartition("sequence_id").coalesce(parts_for(docs.sparkSession, groups * group_rows))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
