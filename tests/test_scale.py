@@ -39,6 +39,31 @@ def test_neighbours_shuffle_grows_with_the_rows(spark, monkeypatch, how):
     assert 0 < many <= 2.2 * few
 
 
+def test_sparse_neighbours_shuffle_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(textvec, "BLOCK_ROWS", 16)
+    counts = []
+    for n in (512, 1024):
+        rows = spark.range(n).select(F.col("id").alias("ord"), F.concat_ws(" ", F.lit("word"), (F.col("id") % 40).cast("string")).alias("text"))
+        counts.append(shuffled(textvec.sparse_edges(textvec.tfidf(rows), rows, 3), "shuffleRecordsWritten"))
+    assert 0 < counts[1] <= 2.4 * counts[0]
+
+
+def test_sparse_neighbours_equal_a_whole_product(spark, monkeypatch):
+    monkeypatch.setattr(textvec, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(textvec, "COMMON", 4)
+    rng = np.random.default_rng(2)
+    n, terms, k = 90, 30, 6
+    w = np.where(rng.random((n, terms)) < 0.15, rng.integers(1, 4, (n, terms)), 0).astype(float)
+    w[5] = w[6] = 0  # rows without terms meet the first rows
+    w[40:60] = w[20:40]  # and ties go to them
+    cells = [(int(i), f"t{t:02d}", float(w[i, t])) for i, t in zip(*np.nonzero(w))]
+    rows = spark.range(n).withColumnRenamed("id", "ord")
+    got = textvec.sparse_edges(spark.createDataFrame(cells, "ord long, term string, w double"), rows, k).collect()
+    cos = w @ w.T
+    want = {(i, j, r + 1) for i in range(n) for r, j in enumerate(sorted((j for j in range(n) if j != i), key=lambda j: (-cos[i, j], j))[:k])}
+    assert {(r.i, r.j, r.rank) for r in got} == want and len(got) == n * k
+
+
 def test_candidates_take_no_vectors_along(spark):
     n, guesses = 1000, 70
     v, _ = vectors(spark, n, 64)

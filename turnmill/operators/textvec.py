@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import DECIMALS
+from . import streams
+from .ordering import ensure_checkpoint_dir, numbered
+from .streams import lists
 
 MAX_FEATURES = 20_000
 DIMS = 64
-BLOCK_ROWS = 512
+#: Rows of a task at least, and of its rows that meet a block of the others at once.
+BLOCK_ROWS = 256
+#: The most frequent terms, whose weights are multiplied as a matrix; others are met by lists.
+COMMON = 128
 
 
 def tokens(text: Column) -> Column:
@@ -51,45 +55,44 @@ def hashed_vectors(rows: DataFrame, dims: int = DIMS) -> DataFrame:
     )
 
 
-def _sparse_tile(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["ord"])
-        left, right = ([r for r in rows if r["side"] == s] for s in (0, 1))
-        places = {t: n for n, t in enumerate(sorted({t for r in left for t in r["terms"]}))}
-
-        def dense(part):
-            m = np.zeros((len(part), len(places)))
-            for n, r in enumerate(part):
-                for t, w in zip(r["terms"], r["ws"]):
-                    if t in places:
-                        m[n, places[t]] = w
-            return m
-
-        i, j = (np.array([r["ord"] for r in p], dtype=np.int64) for p in (left, right))
-        if not len(i) or not len(j):
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
-        cos = np.where(i[:, None] != j, np.round(dense(left) @ dense(right).T, DECIMALS), -np.inf)
-        keep = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-        rows_at, cols = np.repeat(np.arange(len(i)), keep.shape[1]), keep.reshape(-1)
-        good = np.isfinite(cos[rows_at, cols])
-        rows_at, cols = rows_at[good], cols[good]
-        return pa.table({"i": i[rows_at], "j": j[cols], "cos": cos[rows_at, cols]})
-
-    return run
+def _read_sparse(table) -> tuple:
+    """Rows' weights of the COMMON first terms as a matrix, and those of the others as (row, term, w) by term and by row."""
+    terms, at = lists(table.column("terms"))
+    ws, _ = lists(table.column("ws"))
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    common = terms < COMMON
+    dense = np.zeros((len(at) - 1, COMMON))
+    dense[rows[common], terms[common]] = ws[common]
+    rare = rows[~common], terms[~common], ws[~common]
+    by_term = np.argsort(rare[1], kind="stable")
+    return dense, rare, tuple(x[by_term] for x in rare)
+
+
+def _sparse_product(own: tuple, part: slice, block: tuple) -> np.ndarray:
+    """Scores of some own rows with a block: a product over the common terms, and what is listed for the others."""
+    (dense, (rows, terms, ws), _), (others, _, (cols, listed, theirs)) = own, block
+    scores = dense[part] @ others.T
+    some = slice(*np.searchsorted(rows, (part.start, part.stop)))
+    rows, terms, ws = rows[some] - part.start, terms[some], ws[some]
+    first, last = np.searchsorted(listed, terms), np.searchsorted(listed, terms, side="right")
+    many = last - first
+    # Places in the block's lists, one run for each of the own weights.
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    np.add.at(scores.reshape(-1), np.repeat(rows * scores.shape[1], many) + cols[at], np.repeat(ws, many) * theirs[at])
+    return scores
 
 
 def sparse_edges(weights: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(i, j, cos, rank): k nearest by sparse vectors (ord, term, w), in tiles of two blocks."""
-    lists = weights.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("p"))
-    lists = rows.select("ord").join(lists, "ord", "left").select(
-        "ord", F.coalesce(F.transform("p", lambda x: x["term"]), F.array().cast("array<string>")).alias("terms"),
+    """(i, j, cos, rank): k nearest by sparse vectors (ord, term, w); terms are numbered, the most frequent first."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    weights = weights.checkpoint()
+    counts = weights.groupBy("term").agg((-F.count("*")).alias("_less"))
+    places = numbered(counts, "_less", "term", name="_t").select("term", F.col("_t").cast("int").alias("t"))
+    vectors = weights.join(places, "term").groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("p"))
+    vectors = rows.select("ord").join(vectors, "ord", "left").select(
+        "ord", F.coalesce(F.transform("p", lambda x: x["t"]), F.array().cast("array<int>")).alias("terms"),
         F.coalesce(F.transform("p", lambda x: x["w"]), F.array().cast("array<double>")).alias("ws"),
-    )
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    own, every = F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    lists = lists.withColumn("own", own)
-    left = lists.select(F.col("own").alias("a"), every.alias("b"), F.lit(0).alias("side"), "ord", "terms", "ws")
-    right = lists.select(every.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"), "ord", "terms", "ws")
-    got = left.unionByName(right).groupBy("a", "b").applyInArrow(_sparse_tile(k), "i long, j long, cos double")
-    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cos"), "j"))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k)
+    ).checkpoint()
+    groups, narrow = streams.groups_for(vectors, BLOCK_ROWS)
+    run = streams.nearest(_read_sparse, _sparse_product, k, None, "other", BLOCK_ROWS)
+    return streams.arranged(streams.dealt(vectors, groups), groups, narrow).mapInArrow(run, "i long, j long, cos double, rank int")
