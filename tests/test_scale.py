@@ -103,3 +103,16 @@ def test_dedup_in_many_rounds_equals_the_walk(spark):
     odd = v.unionByName(spark.createDataFrame([(700, None)], v.schema))
     got = sorted(r.ord for r in neighbours.greedy_dedup(odd, 0.6, walk_edges=3000).collect())
     assert got == [*np.flatnonzero(~gone).tolist(), 700]
+
+
+def test_audit_reads_its_calls_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    calls = spark.range(50).select(F.col("id").alias("i"), (F.col("id") % 3).cast("string").alias("band"), F.lit("subject").alias("arm"))
+    calls = calls.mapInPandas(count, calls.schema)
+    assert sampling.audit_sample(calls, "i", 9).count() == 9 and read.value == 50

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import md5_order
 from .neighbours import dot, edges, present
+from .ordering import ensure_checkpoint_dir
 from .stats import banded, per_band
 
 
@@ -54,9 +55,10 @@ def audit_sample(calls: DataFrame, key: str, n: int = 100, seed: int = 42) -> Da
     All where there are fewer than n; else as many of each band as n allows, n at
     most; without bands n at random.
     """
-    pool = calls.where(F.coalesce("arm", F.lit("subject")) == "subject")
-    size, bands = pool.agg(F.count("*"), F.count_distinct(F.coalesce("band", F.lit("unknown"))).alias("b")).first()
-    named = pool.agg(F.count("band")).first()[0]
+    ensure_checkpoint_dir(calls.sparkSession)
+    pool = calls.where(F.coalesce("arm", F.lit("subject")) == "subject").checkpoint()  # read twice
+    counts = pool.agg(F.count("*"), F.count_distinct(F.coalesce("band", F.lit("unknown"))), F.count("band"))
+    size, bands, named = counts.first()
     if size < n:
         return pool
     order = F.struct(md5_order(seed, F.col(key)), F.col(key))
