@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnmill.operators import neighbours, sampling, textvec
+from turnmill.operators.components import components
 
 
 def shuffled(df, metric):
@@ -116,3 +117,15 @@ def test_audit_reads_its_calls_once(spark):
     calls = spark.range(50).select(F.col("id").alias("i"), (F.col("id") % 3).cast("string").alias("band"), F.lit("subject").alias("arm"))
     calls = calls.mapInPandas(count, calls.schema)
     assert sampling.audit_sample(calls, "i", 9).count() == 9 and read.value == 50
+
+
+def test_components_of_graphs_that_fit_a_task_need_no_rounds(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(u), int(v)) for g, u, v in zip(rng.integers(0, 3, 900), *rng.integers(-200, 400, (2, 900)))]
+    links = spark.createDataFrame([*rows, (7, 5, 5)], "g int, u long, v long")
+    want = components(links, ["g"])
+    got = components(links, ["g"], nodes=600)
+    assert got.schema == want.schema or got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    long = spark.range(5000).select(F.lit(1).alias("g"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert [tuple(r) for r in components(long, ["g"], nodes=5001, max_rounds=0).groupBy("root").count().collect()] == [(0, 5001)]

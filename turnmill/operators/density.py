@@ -71,7 +71,7 @@ def density_clusters(vectors: DataFrame, cells=((20, 5),), levels: int = LEVELS)
     reach = _reach(vectors, sorted({s for _, s in cells})).checkpoint()
     cuts = _levels(reach, levels).checkpoint()
     links = reach.join(F.broadcast(cuts), "ms").where("d <= eps").select("ms", "level", "u", "v")
-    parts = components(links, ["ms", "level"]).checkpoint()
+    parts = components(links, ["ms", "level"], nodes=vectors.count()).checkpoint()
     sizes = parts.groupBy("ms", "level", "root").agg(F.count("*").alias("size"))
     above = parts.select("ms", (F.col("level") + 1).alias("level"), F.col("node").alias("root"), F.col("root").alias("parent"))
     big = sizes.join(F.broadcast(grid), "ms").where("size >= mcs").join(above, ["ms", "level", "root"], "left")
